@@ -118,7 +118,8 @@ def train(docs: DataFrame, dim: int = DIM, rows: int = TRAIN_ROWS) -> list[tuple
             for lang, part in batch.groupby("lang"):
                 for texts in chunks(part["text"]):
                     sums[lang] = sums.get(lang, 0) + bundles(texts, dim).sum(axis=0)
-        yield pd.DataFrame({"lang": list(sums), "bundle": [v.astype(np.int64) for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "bundle": [v.astype(np.int64) for v in sums.values()]})
 
     parts = taken.mapInPandas(bundle, "lang string, bundle array<long>")
     summed = parts.groupBy("lang").agg(F.array(*(F.sum(F.col("bundle")[i]) for i in range(dim))).alias("bundle"))
