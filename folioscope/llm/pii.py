@@ -31,7 +31,7 @@ BASE = {
 }
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Candidates: anything around an @, and runs of digits with the usual separators.
-CANDIDATE = r"[^\s@<>\"']{1,128}+@[^\s@<>\"']{1,255}+|(?<![0-9])(?:\+|\()?[0-9](?:[ ().-]{0,3}[0-9]){6,}+"
+CANDIDATE = r"(?<![^\s@<>\"'])[^\s@<>\"']{1,128}+@[^\s@<>\"']{1,255}+|(?<![0-9])(?:\+|\()?[0-9](?:[ ().-]{0,3}[0-9]){6,}+"
 
 # Gazetteers and context words.
 TOP_LEVEL = ("com", "net", "org", "edu", "gov", "mil", "int", "info", "io", "co", "biz", "eu", "uk", "de", "fr", "es", "it", "nl", "ch", "at", "be", "pt", "us", "ca", "mx", "br", "ar", "au", "jp", "cn", "in")
@@ -109,7 +109,7 @@ def _valid(kind: str, m: Column) -> Column:
 
 def _base_of(kind: str, text: Column) -> Column:
     """Base spans of one kind: array of (start, kind number, end)."""
-    sign = {"email": "@", "ip": ".", "phone": "+"}.get(kind)
+    sign = {"email": "@", "phone": "+"}.get(kind)
     there = F.contains(text, F.lit(sign)) if sign else text.rlike(BASE[kind])
     spans = F.filter(_started(_zipped(text, BASE[kind])), lambda x: _valid(kind, x["m"]))
     plain = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end")))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, langid, packing, sharding, token_counts
+from folioscope.llm import block_neighbours, bpe, langid, packing, pii, pivot_topk, sharding, simhash, token_counts
 from folioscope.llm.common import read_table
 
 
@@ -25,10 +25,23 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return pivot_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, most=2)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN)
 
@@ -39,5 +52,27 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.edited_counts(edited, rank_file(), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_language_id, op5_best_fit_packing, op8_byte_bpe, op9_token_counts)}
-ORACLE: dict[str, str] = {}
+def op10_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return block_neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_sharding, op3_language_id, op4_pivot_topk, op5_best_fit_packing, op6_pii, op7_simhash, op8_byte_bpe, op9_token_counts, op10_block_neighbours)
+}
+ORACLE: dict[str, str] = {
+    "op4_pivot_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
