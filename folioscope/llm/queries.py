@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import block_neighbours, bpe, langid, packing, pii, pivot_topk, sharding, simhash, token_counts
+from folioscope.llm import block_neighbours, bpe, html_text, langid, packing, pii, pivot_topk, sharding, simhash, token_counts
 from folioscope.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=8)
 
@@ -59,7 +63,7 @@ def op10_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_sharding, op3_language_id, op4_pivot_topk, op5_best_fit_packing, op6_pii, op7_simhash, op8_byte_bpe, op9_token_counts, op10_block_neighbours)
+    for f in (op1_html_text, op2_sharding, op3_language_id, op4_pivot_topk, op5_best_fit_packing, op6_pii, op7_simhash, op8_byte_bpe, op9_token_counts, op10_block_neighbours)
 }
 ORACLE: dict[str, str] = {
     "op4_pivot_topk": """
