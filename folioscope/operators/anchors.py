@@ -29,14 +29,14 @@ def anchors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     Frontmatter and fenced code are one anchor each, compared as they stand; prose lines give code, markers and numbers."""
     rows = ln.explode_lines(docs, doc_id, text)
-    head = rows.withColumn("_rule", F.trim("line") == "---").withColumn("_first", F.min(F.when(F.col("line_no") == 0, F.col("_rule"))).over(ln.W.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    head = head.withColumn("_rules", F.sum(F.col("_rule").cast("int")).over(ln.SO_FAR)).withColumn("_more", F.max("_rules").over(Window.partitionBy("doc_id")))
+    head = rows.withColumn("_rule", F.trim("line") == "---").withColumn("_first", F.min(F.when(F.col("line_no") == 0, F.col("_rule"))).over(ln.w().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    head = head.withColumn("_rules", F.sum(F.col("_rule").cast("int")).over(ln.so_far())).withColumn("_more", F.max("_rules").over(Window.partitionBy("doc_id")))
     front = F.col("_first") & (F.col("_more") > 1) & ((F.col("_rules") == 1) | ((F.col("_rules") == 2) & F.col("_rule")))
     marked = head.withColumn("_front", F.coalesce(front, F.lit(False)))
     joined = lambda g, key: g.groupBy("doc_id", *key).agg(F.min("line_no").alias("line_no"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("value"))
     front_rows = joined(marked.where("_front"), []).select("doc_id", F.lit("frontmatter").alias("category"), "line_no", F.lit(0).alias("pos"), "value")
     body = ln.matched_fences(marked.where("not _front").select("doc_id", "line_no", "line"))
-    fenced = body.withColumn("_block", F.sum((F.col("is_fence") & ~F.col("in_fence")).cast("int")).over(ln.SO_FAR)).where("is_fence or in_fence")
+    fenced = body.withColumn("_block", F.sum((F.col("is_fence") & ~F.col("in_fence")).cast("int")).over(ln.so_far())).where("is_fence or in_fence")
     fence_rows = joined(fenced, ["_block"]).select("doc_id", F.lit("fenced_code").alias("category"), "line_no", F.lit(0).alias("pos"), "value")
     prose = body.where("not is_fence and not in_fence").select("doc_id", "line_no", F.posexplode(F.regexp_extract_all(_body(F.col("line")), F.lit(BODY), F.lit(0))).alias("pos", "value"))
     kind = F.when(F.col("value").startswith("`"), "inline_code").when(F.col("value").rlike(r"^[\[{]"), "markers").otherwise("numbers")

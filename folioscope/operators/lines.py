@@ -6,15 +6,26 @@ that a chain of them shares one exchange and sort. Order matters within a docume
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from folioscope.functions import scalar as s
 
-W = Window.partitionBy("doc_id").orderBy("line_no")
-BEFORE = W.rowsBetween(Window.unboundedPreceding, -1)
-SO_FAR = W.rowsBetween(Window.unboundedPreceding, 0)
-AFTER = W.rowsBetween(1, Window.unboundedFollowing)
+def w() -> WindowSpec:
+    """The one partitioning and order that all windows share."""
+    return Window.partitionBy("doc_id").orderBy("line_no")
+
+
+def before() -> WindowSpec:
+    return w().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def so_far() -> WindowSpec:
+    return w().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def after() -> WindowSpec:
+    return w().rowsBetween(1, Window.unboundedFollowing)
 
 
 def explode_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -37,7 +48,7 @@ def is_fence(line: Column, rule: str) -> Column:
 
 def fence_mask(lines: DataFrame, rule: str = "both") -> DataFrame:
     """is_fence and in_fence by toggling: a line is inside if an odd number of fences stand before it."""
-    return lines.withColumn("is_fence", is_fence(F.col("line"), rule)).withColumn("in_fence", F.coalesce(F.sum(F.col("is_fence").cast("int")).over(BEFORE), F.lit(0)) % 2 == 1)
+    return lines.withColumn("is_fence", is_fence(F.col("line"), rule)).withColumn("in_fence", F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before()), F.lit(0)) % 2 == 1)
 
 
 def matched_fences(lines: DataFrame) -> DataFrame:
@@ -56,7 +67,7 @@ def matched_fences(lines: DataFrame) -> DataFrame:
 
     toggles = fences.select("doc_id", F.explode(F.aggregate("f", first, step, lambda acc: acc["out"])).alias("x")).select("doc_id", F.col("x.line_no").alias("line_no"), F.lit(True).alias("is_fence"))
     joined = lines.join(toggles, ["doc_id", "line_no"], "left").withColumn("is_fence", F.coalesce("is_fence", F.lit(False)))
-    return joined.withColumn("in_fence", F.coalesce(F.sum(F.col("is_fence").cast("int")).over(BEFORE), F.lit(0)) % 2 == 1)
+    return joined.withColumn("in_fence", F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before()), F.lit(0)) % 2 == 1)
 
 
 def without_lines(lines: DataFrame, equal: list[str] = (), patterns: list[str] = ()) -> DataFrame:
@@ -73,7 +84,7 @@ def without_lines(lines: DataFrame, equal: list[str] = (), patterns: list[str] =
 def collapse_blank(lines: DataFrame) -> DataFrame:
     """Of a run of blank lines outside of backtick fences the first stays."""
     masked = fence_mask(lines, "backticks").withColumn("_blank", (F.trim("line") == "") & ~F.col("in_fence"))
-    again = F.col("_blank") & F.coalesce(F.lag("_blank").over(W), F.lit(False))
+    again = F.col("_blank") & F.coalesce(F.lag("_blank").over(w()), F.lit(False))
     return masked.withColumn("_drop", again).where("not _drop").select("doc_id", "line_no", "line")
 
 
@@ -86,7 +97,7 @@ def running_headers(lines: DataFrame, titles: DataFrame) -> DataFrame:
 
 def roman_footers(lines: DataFrame, ahead: int = 3) -> DataFrame:
     """Lines of roman letters alone whose next line with text, at most three lines on, names a source page."""
-    nearest = F.coalesce(*(F.when(F.trim(F.lead("line", d).over(W)) != "", F.lead("line", d).over(W)) for d in range(1, ahead + 1)))
+    nearest = F.coalesce(*(F.when(F.trim(F.lead("line", d).over(w())) != "", F.lead("line", d).over(w())) for d in range(1, ahead + 1)))
     found = lines.withColumn("_next", nearest)
     return found.where(F.trim("line").rlike("^(?i)[ivxlcdm]+$") & F.col("_next").rlike(s.SOURCE_LINE)).select("doc_id", "line_no", "line")
 
@@ -98,9 +109,9 @@ def _item(line: Column, ordered: bool) -> Column:
 def ordered_spacing(lines: DataFrame) -> DataFrame:
     """Single blank lines between two ordered items of one indent, to be dropped."""
     indent = F.when(_item(F.col("line"), True).isNotNull(), F.length(F.regexp_extract("line", r"^([ \t]*)", 1)))
-    w = lines.withColumn("_i", indent)
-    both = F.lag("_i").over(W) == F.lead("_i").over(W)
-    return w.withColumn("_drop", (F.trim("line") == "") & both).where("_drop").select("doc_id", "line_no", "line")
+    rows = lines.withColumn("_i", indent)
+    both = F.lag("_i").over(w()) == F.lead("_i").over(w())
+    return rows.withColumn("_drop", (F.trim("line") == "") & both).where("_drop").select("doc_id", "line_no", "line")
 
 
 def unordered_spacing(lines: DataFrame) -> DataFrame:
@@ -110,23 +121,23 @@ def unordered_spacing(lines: DataFrame) -> DataFrame:
     blank = F.trim("line") == ""
     body = ~blank & indent.isNull()
     structural = body & (F.trim("line").rlike(r"^(#{1,6} |```|~~~|>|\||[0-9]+[.)] )") | (s.indentation(F.col("line")) == 0))
-    w = lines.withColumn("_i", indent).withColumn("_bad", structural).withColumn("_blank", blank)
-    w = w.withColumn("_item", F.sum(F.col("_i").isNotNull().cast("int")).over(SO_FAR))
+    rows = lines.withColumn("_i", indent).withColumn("_bad", structural).withColumn("_blank", blank)
+    rows = rows.withColumn("_item", F.sum(F.col("_i").isNotNull().cast("int")).over(so_far()))
     of = Window.partitionBy("doc_id", "_item")
-    w = w.withColumn("_own", F.max("_i").over(of)).withColumn("_spoiled", F.max("_bad").over(of))
-    w = w.withColumn("_next", F.first("_i", ignorenulls=True).over(AFTER))
+    rows = rows.withColumn("_own", F.max("_i").over(of)).withColumn("_spoiled", F.max("_bad").over(of))
+    rows = rows.withColumn("_next", F.first("_i", ignorenulls=True).over(after()))
     after_text = F.coalesce(F.max(F.when(~F.col("_blank"), F.col("line_no"))).over(of), F.lit(-1))
-    w = w.withColumn("_tail", F.col("line_no") > after_text)
+    rows = rows.withColumn("_tail", F.col("line_no") > after_text)
     keep = F.col("_blank") & F.col("_tail") & (F.col("_item") > 0) & (F.col("_own") == F.col("_next")) & ~F.col("_spoiled")
-    return w.withColumn("_drop", keep).where("_drop").select("doc_id", "line_no", "line")
+    return rows.withColumn("_drop", keep).where("_drop").select("doc_id", "line_no", "line")
 
 
 def sections(lines: DataFrame) -> DataFrame:
     """lines with the heading line above them (section_no 0 and a null heading before the first) outside of fences."""
     masked = fence_mask(lines)
     head = ~F.col("in_fence") & ~F.col("is_fence") & F.col("line").rlike("^#{1,6} ")
-    w = masked.withColumn("is_heading", head).withColumn("section_no", F.sum(F.col("is_heading").cast("int")).over(SO_FAR))
-    return w.withColumn("heading", F.last(F.when(F.col("is_heading"), F.col("line")), ignorenulls=True).over(SO_FAR)).select("doc_id", "line_no", "line", "is_heading", "section_no", "heading")
+    rows = masked.withColumn("is_heading", head).withColumn("section_no", F.sum(F.col("is_heading").cast("int")).over(so_far()))
+    return rows.withColumn("heading", F.last(F.when(F.col("is_heading"), F.col("line")), ignorenulls=True).over(so_far())).select("doc_id", "line_no", "line", "is_heading", "section_no", "heading")
 
 
 def required_sections(lines: DataFrame, wanted: DataFrame, titles: list[str]) -> DataFrame:
@@ -145,23 +156,23 @@ def headings(lines: DataFrame) -> DataFrame:
 def duplicate_leading_headings(lines: DataFrame, within: int = 16) -> DataFrame:
     """Second headings within the first lines that say the same as the one before with nothing but blanks and source lines
     between, to be dropped."""
-    w = lines.where(F.col("line_no") < within).withColumn("_head", F.col("line").rlike("^#{1,6} "))
-    w = w.withColumn("_text", ~F.col("_head") & (F.trim("line") != "") & ~F.col("line").rlike(s.SOURCE_LINE))
+    rows = lines.where(F.col("line_no") < within).withColumn("_head", F.col("line").rlike("^#{1,6} "))
+    rows = rows.withColumn("_text", ~F.col("_head") & (F.trim("line") != "") & ~F.col("line").rlike(s.SOURCE_LINE))
     key = s.heading_lookup(F.regexp_replace("line", "^#+ ", ""))
-    w = w.withColumn("_key", F.when(F.col("_head"), key)).withColumn("_texts", F.sum(F.col("_text").cast("int")).over(SO_FAR))
+    rows = rows.withColumn("_key", F.when(F.col("_head"), key)).withColumn("_texts", F.sum(F.col("_text").cast("int")).over(so_far()))
     at = Window.partitionBy("doc_id").orderBy("line_no")
-    heads = w.where("_head").withColumn("_n", F.row_number().over(at)).withColumn("_before", F.lag("_key").over(at)).withColumn("_quiet", F.lag("_texts").over(at) == F.col("_texts"))
+    heads = rows.where("_head").withColumn("_n", F.row_number().over(at)).withColumn("_before", F.lag("_key").over(at)).withColumn("_quiet", F.lag("_texts").over(at) == F.col("_texts"))
     return heads.where("_n = 2 and _before = _key and _quiet").select("doc_id", "line_no", "line")
 
 
 def source_reference_repeats(lines: DataFrame) -> DataFrame:
     """Source lines whose page is that of the source line before with headings (one at least) and blanks between, to be
     dropped. Chains compare with the source line right before, dropped or not, which names the same page."""
-    w = lines.withColumn("_page", s.source_page(F.col("line"))).withColumn("_head", F.col("line").rlike("^#{1,6} "))
-    w = w.withColumn("_other", F.col("_page").isNull() & ~F.col("_head") & (F.trim("line") != ""))
-    w = w.withColumn("_heads", F.sum(F.col("_head").cast("int")).over(SO_FAR)).withColumn("_others", F.sum(F.col("_other").cast("int")).over(SO_FAR))
+    rows = lines.withColumn("_page", s.source_page(F.col("line"))).withColumn("_head", F.col("line").rlike("^#{1,6} "))
+    rows = rows.withColumn("_other", F.col("_page").isNull() & ~F.col("_head") & (F.trim("line") != ""))
+    rows = rows.withColumn("_heads", F.sum(F.col("_head").cast("int")).over(so_far())).withColumn("_others", F.sum(F.col("_other").cast("int")).over(so_far()))
     at = Window.partitionBy("doc_id").orderBy("line_no")
-    refs = w.where("_page is not null")
+    refs = rows.where("_page is not null")
     refs = refs.withColumn("_same", (F.lag("_page").over(at) == F.col("_page")) & (F.lag("_others").over(at) == F.col("_others")) & (F.lag("_heads").over(at) < F.col("_heads")))
     return refs.where("_same").select("doc_id", "line_no", "line")
 
@@ -175,7 +186,7 @@ def definition_tables(lines: DataFrame, least: int = 2) -> DataFrame:
     """Runs of definition items (blank lines between them count as part of the run) of at least two: doc_id, table_no,
     first_line, n_rows and the table's Markdown."""
     item = lines.withColumn("_d", s.definition(F.col("line"))).withColumn("_blank", F.trim("line") == "")
-    run = item.withColumn("_cut", (F.col("_d").isNull() & ~F.col("_blank")).cast("int")).withColumn("_run", F.sum("_cut").over(SO_FAR)).where("_d is not null")
+    run = item.withColumn("_cut", (F.col("_d").isNull() & ~F.col("_blank")).cast("int")).withColumn("_run", F.sum("_cut").over(so_far())).where("_d is not null")
     row = F.concat(F.lit("| **"), F.col("_d.label"), F.lit("** | "), s.cell_escaped_once(F.col("_d.description")), F.lit(" |"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("row")))), lambda x: x["row"])
     return run.groupBy("doc_id", "_run").agg(F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_rows"), F.concat(F.lit("| Term | Description |\n| --- | --- |\n"), F.array_join(rows, "\n")).alias("table_md")).where(F.col("n_rows") >= least).drop("_run")
@@ -189,7 +200,7 @@ def callouts(lines: DataFrame) -> DataFrame:
     its label up to a blank or structural line, another label or a fence."""
     masked = fence_mask(lines)
     lead = masked.withColumn("_lead", ~F.col("in_fence") & F.col("line").rlike(CALLOUT_LEAD)).withColumn("_stop", (F.trim("line") == "") | F.col("is_fence") | F.col("line").rlike(r"^\s*(#{1,6} |[-*+] |[0-9]+[.)] |>|\|)"))
-    run = lead.withColumn("_part", F.sum((F.col("_lead") | F.col("_stop")).cast("int")).over(SO_FAR))
+    run = lead.withColumn("_part", F.sum((F.col("_lead") | F.col("_stop")).cast("int")).over(so_far()))
     of = Window.partitionBy("doc_id", "_part")
     run = run.withColumn("_is", F.max("_lead").over(of)).where("_is")
     text = F.when(F.col("_lead"), F.regexp_extract("line", CALLOUT_LEAD, 2)).otherwise(F.trim("line"))
@@ -199,8 +210,8 @@ def callouts(lines: DataFrame) -> DataFrame:
 
 
 def next_nonblank(distance: int) -> Column:
-    return F.first(F.when(F.trim("line") != "", F.col("line_no")), ignorenulls=True).over(W.rowsBetween(1, distance))
+    return F.first(F.when(F.trim("line") != "", F.col("line_no")), ignorenulls=True).over(w().rowsBetween(1, distance))
 
 
 def previous_nonblank(distance: int) -> Column:
-    return F.last(F.when(F.trim("line") != "", F.col("line_no")), ignorenulls=True).over(W.rowsBetween(-distance, -1))
+    return F.last(F.when(F.trim("line") != "", F.col("line_no")), ignorenulls=True).over(w().rowsBetween(-distance, -1))
