@@ -62,7 +62,7 @@ def safe_component(text: Column, fallback: str = "Untitled") -> Column:
     return F.coalesce(F.nullif(name, F.lit("")), F.lit(fallback))
 
 
-_LINK_EDGE = r"(https?://[^`\s]*/)"
+_LINK_EDGE = r"(https?:/[^`\s]*/)"
 
 
 def merge_code_urls(text: Column, passes: int = 8) -> Column:

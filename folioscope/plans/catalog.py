@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import scalar as s
 from folioscope.operators import anchors as an
-from folioscope.operators import drift, integrity, links, ranges
+from folioscope.operators import drift, integrity, layout, links, ranges, repair, report
 from folioscope.operators import lines as ln
 from folioscope.plans import views as v
+from folioscope.functions import unicode as u
+from folioscope.sources import changes, frontmatter
 from folioscope.sources.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -540,3 +542,132 @@ def trace_metrics(spark, sf_dir):
 @query("SELECT source, lang, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY ROLLUP (source, lang)")
 def corpus_totals(spark, sf_dir):
     return docs(spark, sf_dir).rollup("source", "lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+
+
+# Repair
+
+
+def _markdown(spark, sf_dir) -> DataFrame:
+    """Conversations and pages as one Markdown corpus."""
+    return v.conv_md(spark, sf_dir).unionByName(v.pages_md(spark, sf_dir).select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text"))
+
+
+@query()
+def repair_corpus(spark, sf_dir):
+    return repair.repair(_markdown(spark, sf_dir)).drop("changes")
+
+
+@query()
+def repair_totals(spark, sf_dir):
+    return repair.totals(repair.repair(_markdown(spark, sf_dir)))
+
+
+# Sources and configuration
+
+
+@query("SELECT conv_id AS doc_id, 'title' AS key, 'string' AS kind, 'Conversation ' || CAST(conv_id AS VARCHAR) AS value FROM conversations GROUP BY conv_id")
+def frontmatter_fields(spark, sf_dir):
+    return frontmatter.fields(v.conv_md(spark, sf_dir)).select("doc_id", "key", "kind", "value")
+
+
+@query("SELECT conv_id AS doc_id, length('---' || 'title: Conversation ' || CAST(conv_id AS VARCHAR) || '---') + 3 AS n_front FROM conversations GROUP BY conv_id")
+def frontmatter_split(spark, sf_dir):
+    return frontmatter.split(v.conv_md(spark, sf_dir)).select("doc_id", F.length("frontmatter").alias("n_front"))
+
+
+@query(
+    "SELECT 'commit' AS scope, CASE WHEN doc_id % 3 = 0 THEN 'modified' WHEN doc_id % 3 = 1 THEN 'renamed' ELSE 'deleted' END AS change, CASE WHEN doc_id % 3 = 1 THEN 'new/' ELSE 'old/' END || CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 3 = 1 THEN 'old/' || CAST(doc_id AS VARCHAR) END AS previous_path FROM documents"
+)
+def change_records(spark, sf_dir):
+    i = F.col("doc_id").cast("string")
+    old, new = F.concat(F.lit("old/"), i), F.concat(F.lit("new/"), i)
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat_ws("\0", F.lit("M"), old)).when(F.col("doc_id") % 3 == 1, F.concat_ws("\0", F.lit("R100"), old, new)).otherwise(F.concat_ws("\0", F.lit("D"), old))
+    return changes.changes(docs(spark, sf_dir).select(F.lit("commit").alias("scope"), raw.alias("raw")))
+
+
+# Layout: documents as pages, a line each in a block of its own
+
+
+def page_dicts(spark, sf_dir) -> DataFrame:
+    rows = ln.explode_lines(docs(spark, sf_dir)).where(F.col("line_no") < 2000)
+    n = F.col("line_no")
+    y, size = 70.0 + 14.0 * (n % 50), F.when(n % 10 == 0, 18.0).when(n % 10 == 5, 14.0).otherwise(10.0)
+    box = F.array(F.lit(50.0), y, 50.0 + 5.0 * F.length("line"), y + size)
+    span = F.struct(F.col("line").alias("text"), box.alias("bbox"), size.alias("size"), F.when(n % 7 == 3, "Mono").otherwise("Serif").alias("font"), F.when(n % 4 == 1, 16).otherwise(0).alias("flags"))
+    block = F.struct(box.alias("bbox"), F.array(F.struct(box.alias("bbox"), F.array(span).alias("spans"))).alias("lines"))
+    pages = rows.groupBy(F.col("doc_id").alias("doc"), F.floor(n / 50).cast("int").alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", block.alias("b")))), lambda x: x["b"]).alias("blocks"))
+    return pages.select("doc", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), "blocks")
+
+
+@query(
+    "SELECT doc_id AS doc, line_no // 50 AS page, count(*) AS n_lines, CAST(sum(length(trim(line))) AS BIGINT) AS n_chars FROM lines WHERE line_no < 2000 AND trim(line) <> '' GROUP BY 1, 2",
+    v.lines_sql("documents"),
+)
+def page_lines(spark, sf_dir):
+    return layout.line_boxes(page_dicts(spark, sf_dir)).groupBy("doc", F.col("page").cast("long").alias("page")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query()
+def page_entries(spark, sf_dir):
+    return layout.entries(page_dicts(spark, sf_dir))
+
+
+@query()
+def page_text(spark, sf_dir):
+    pages = page_dicts(spark, sf_dir)
+    rows = layout.without_page_numbers(layout.entries(pages), pages)
+    events = pages.select("doc", "page", F.lit(300.0).alias("y0"), F.lit(50.0).alias("x0"), F.lit(0).alias("priority"), F.lit("![[image]]").alias("markdown"))
+    return layout.rendered(rows, events)
+
+
+@query(
+    "SELECT doc_id AS doc, CAST(count(DISTINCT line_no // 50) AS BIGINT) AS n_pages, CAST(sum(length(trim(line))) AS BIGINT) AS n_chars FROM lines WHERE line_no < 2000 GROUP BY doc_id",
+    v.lines_sql("documents"),
+)
+def page_probe(spark, sf_dir):
+    return layout.probe(page_dicts(spark, sf_dir)).select("doc", "n_pages", "n_chars")
+
+
+# Reports
+
+
+@query(
+    "SELECT \"group\", string_agg(CASE WHEN status = 'active' THEN '- ' ELSE '- (old) ' END || path, chr(10) ORDER BY status <> 'active', path) AS catalog FROM memory_pages GROUP BY \"group\"",
+    v.MEMORY_SQL,
+)
+def catalog_pages(spark, sf_dir):
+    return report.catalog(v.memory_pages(spark, sf_dir))
+
+
+@query()
+def casefold_keys(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", u.casefold(u.nfkc(F.col("text"))).alias("key"))
+
+
+@query()
+def nested_link_targets(spark, sf_dir):
+    return v.pages_md(spark, sf_dir).select("doc_id", F.explode(u.link_targets(F.col("text"))).alias("target"))
+
+
+@query()
+def unified_diffs(spark, sf_dir):
+    both = docs(spark, sf_dir).select("doc_id", F.col("text").alias("before")).join(v.docs_candidate(spark, sf_dir), "doc_id").where(F.col("before") != F.col("text"))
+    return both.select("doc_id", u.unified_diff(F.col("before"), F.col("text")).alias("diff"))
+
+
+@query(
+    "SELECT k.key AS title_key, CAST(count(h.doc_id) AS BIGINT) AS n_headings, CASE WHEN count(h.doc_id) = 1 THEN 'linked' WHEN count(h.doc_id) = 0 THEN 'missing' ELSE 'ambiguous' END AS outcome FROM (SELECT unnest(['user', 'system', 'none']) AS key) k "
+    "LEFT JOIN (SELECT doc_id, lower(trim(regexp_replace(line, '^#+ ', ''))) AS key FROM sections WHERE is_heading) h ON h.key = k.key GROUP BY k.key",
+    *_CONV, _SECTIONS,
+)
+def toc_matches(spark, sf_dir):
+    wanted = spark.createDataFrame([("user",), ("system",), ("none",)], "title string")
+    return report.toc_matches(wanted, ln.headings(conv_lines(spark, sf_dir)))
+
+
+@query(
+    "SELECT role AS lens, count(*) AS n_sections, CAST(sum(n) AS BIGINT) AS n_lines FROM (SELECT doc_id, section_no, lower(trim(regexp_replace(max(heading), '^#+ ', ''))) AS role, count(*) FILTER (NOT is_heading) AS n FROM sections WHERE section_no > 0 GROUP BY doc_id, section_no) WHERE role IN ('user', 'system') GROUP BY role",
+    *_CONV, _SECTIONS,
+)
+def lens_sections(spark, sf_dir):
+    return report.lens(conv_lines(spark, sf_dir), r"(?i)^#+ (user|system)\s*$").groupBy("lens").agg(F.count(F.lit(1)).alias("n_sections"), F.sum("n_lines").alias("n_lines"))
