@@ -139,6 +139,40 @@ def references(lines: list[str], log: Log) -> list[str]:
     return _each(lines, log, "source-reference-style", plain)
 
 
+_IMAGE = re.compile(r"^!\[\[[^\]]+\]\]$|^!\[[^\]]*\]\([^)]+\)$")
+_FIGURE = re.compile(r"^\*{0,2}Figure \d")
+
+
+def figures(lines: list[str], log: Log) -> list[str]:
+    """An image, its caption (up to three lines on) and its source line (up to three lines before the image, or four behind the
+    caption) in this order, a blank line between. Figures with sources on both sides stay as they are."""
+
+    def near(start: int, step: int, reach: int) -> int | None:
+        for j in range(start + step, start + step * (reach + 1), step):
+            if 0 <= j < len(lines) and lines[j].strip():
+                return j
+        return None
+
+    i = 0
+    while i < len(lines):
+        if _IMAGE.match(lines[i].strip()) and not _fences(lines)[i]:
+            c, a = near(i, 1, 3), near(i, -1, 3)
+            if c is not None and _FIGURE.match(lines[c]):
+                b = near(c, 1, 4)
+                before = a is not None and bool(_SOURCE.match(lines[a]))
+                behind = b is not None and bool(_SOURCE.match(lines[b]))
+                if before != behind:
+                    first, last, source = (a, c, a) if before else (i, b, b)
+                    new = [lines[i], "", lines[c], "", lines[source]]
+                    if lines[first : last + 1] != new:
+                        log.append(("figure-source", "\n".join(lines[first : last + 1]), "\n".join(new)))
+                        lines = lines[:first] + new + lines[last + 1 :]
+                    i = first + len(new)
+                    continue
+        i += 1
+    return lines
+
+
 def repeated_references(lines: list[str], log: Log) -> list[str]:
     """A source line of the same page as the one before, with headings and blanks alone between."""
     drop, page, heads, other = set(), None, 0, False
@@ -227,7 +261,7 @@ def repair_text(text: str, title: str = "") -> tuple[str, Log]:
     lines = roman(chrome(lines, log, title), log)
     for kind, change in (("toc-heading", toc), ("shortcut", shortcut), ("emphasis", emphasis)):
         lines = _each(lines, log, kind, change)
-    for step in (callouts, references, repeated_references, leading_heading, ordered_spacing, unordered_spacing, blanks):
+    for step in (callouts, references, figures, repeated_references, leading_heading, ordered_spacing, unordered_spacing, blanks):
         lines = step(lines, log)
     lines = _each(lines, log, "code-url", code_urls)
     return front + newline.join(lines), log

@@ -268,3 +268,51 @@ def test_reports(spark):
     rows = [(1, 1, b, 0, i, x + 120.0 * (w.isdigit()), w) for b, (t, x) in enumerate(words) for i, w in enumerate(t.split())]
     tree = report.toc_tree(report.toc_outline(spark.createDataFrame(rows, "doc long, page int, block_no int, line_no int, word_no int, x0 double, text string"))).orderBy("block_no").collect()
     assert [(r.kind, r.title, r.print_page, r.part, r.chapter) for r in tree] == [("part", "Part I", None, "Part I", None), ("chapter", "1. Start", None, "Part I", "1. Start"), ("section", "First section", 12, "Part I", "1. Start"), ("back", "Index", None, "Part I", None)]
+
+
+def test_structure(spark):
+    from folioscope.operators import structure
+
+    notes = spark.createDataFrame([("n1", "intro\nName Kind\nUse\nCompiler builds\nLinker links\n\n## Next", 1, 5), ("n2", "| A | B |", 6, 9)], "path string, text string, start_page int, end_page int")
+    tables = spark.createDataFrame([(1, 2, ["Name", "Kind", "Use"], [["Compiler", "x"], ["Linker", "y"]], "| Name | Kind | Use |"), (2, 7, ["A", "B"], [["1", "2"]], "| A | B |"), (3, 50, ["Z"], [["z"]], "zz"), (4, 3, ["Gone"], [["z"]], "zz")], "table_id long, page int, headers array<string>, rows array<array<string>>, markdown string")
+    owned = structure.owners(tables, notes)
+    got = {r.table_id: (r.status, r.start_line, r.end_line) for r in structure.located(owned, notes.select("path", "text")).where("table_id is not null").collect()}
+    assert got == {1: ("located", 1, 5), 2: ("present", None, None), 4: ("uncertain", None, None)}
+    pairs = structure.figure_pairs(lines_of(spark, "> Source PDF, p. 3\n\n![[a.png]]\n\nFigure 1. A\n"))
+    assert tuple(pairs.first()) == (1, 2, "![[a.png]]", "Figure 1. A", 3)
+    moved = pairs.withColumn("page", F.lit(4))
+    assert structure.compare_figures(moved, pairs).first().outcome == "moved" and structure.compare_figures(pairs, pairs).first().outcome == "unchanged"
+    tools = spark.createDataFrame([("a", "h1", "3.4.0"), ("b", "h", "3.9.0")], "path string, sha256 string, version string")
+    other = spark.createDataFrame([("a", "h2", "3.10.0"), ("b", "h", "3.9.0"), ("c", "h", "1.0.0")], "path string, sha256 string, version string")
+    assert {r.path: (r.content, r.version) for r in structure.tool_versions(tools, other).collect()} == {"a": ("different", "older"), "b": ("same", "same"), "c": ("not_comparable", None)}
+
+
+def test_figures_in_repair():
+    text = "> Source PDF, p. 3\n\n![[a.png]]\nFigure 1. A\n\nend"
+    new, log = repair.repair_text(text)
+    assert new == "![[a.png]]\n\nFigure 1. A\n\n> Source PDF, p. 3\n\nend" and [k for k, _, _ in log] == ["figure-source"]
+    assert repair.repair_text(new) == (new, [])
+
+
+def test_sinks(spark, tmp_path):
+    from folioscope.sources import sinks
+
+    files = spark.createDataFrame([("a", "x", "x")], "path string, text string, content string").withColumn("sha256", F.sha2("content", 256))
+    sinks.write_snapshot(files.select("path", "content", "sha256"), str(tmp_path / "s"), "one")
+    assert sinks.read_snapshot(spark, str(tmp_path / "s"), "one").first().is_readable
+    preview = spark.createDataFrame([("a", "new"), ("b", "made")], "path string, text string").withColumn("original_sha256", F.when(F.col("path") == "a", F.sha2(F.lit("x"), 256)))
+    current = files.select("path", "text")
+    assert {tuple(r) for r in sinks.merged(current, preview).collect()} == {("a", "new"), ("b", "made")}
+    drifted = spark.createDataFrame([("a", "edited by hand")], "path string, text string")
+    assert {tuple(r) for r in sinks.merged(drifted, preview).collect()} == {("a", "edited by hand")}
+
+
+def test_stream(spark, tmp_path):
+    from folioscope.streaming import drift_stream
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([("a", "chapter", "x"), ("b", "chapter", "y")], "path string, kind string, text string").write.parquet(source)
+    manifest = spark.createDataFrame([("a", "chapter", "zz", True)], "path string, kind string, after_sha256 string, marker boolean")
+    stream = spark.readStream.schema("path string, kind string, text string").parquet(source)
+    drift_stream.watch(stream, lambda: manifest, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/{n}"), str(tmp_path / "ck")).awaitTermination(120)
+    assert {(r.path, r.action) for r in spark.read.parquet(f"{out}/0").collect()} == {("a", "update"), ("b", "create")}
