@@ -108,9 +108,13 @@ def train(docs: DataFrame, dim: int = DIM, rows: int = TRAIN_ROWS) -> list[tuple
     that the language's count decides. What reaches the driver is one vector for each language.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    share = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("_lang"), (F.lit(float(rows)) / F.col("n")).alias("_share"))
+    # as many rows as there are languages; a literal map, so that texts are filtered where they are read
+    share = {r["lang"]: rows / r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not share:
+        return []
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
-    taken = known.select("doc_id", "lang", "text").join(share, F.col("lang") == F.col("_lang")).where(place < F.col("_share")).select("lang", "text")
+    limit = F.create_map(*(F.lit(x) for kv in sorted(share.items()) for x in kv))
+    taken = known.where(place < F.try_element_at(limit, F.col("lang"))).select("lang", "text")
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
