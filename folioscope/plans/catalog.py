@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import scalar as s
+from folioscope.functions import unicode as u
 from folioscope.operators import anchors as an
-from folioscope.operators import drift, integrity, layout, links, ranges, repair, report
+from folioscope.operators import drift, integrity, knowledge, layout, links, ranges, repair, report, structure
 from folioscope.operators import lines as ln
 from folioscope.plans import views as v
-from folioscope.functions import unicode as u
 from folioscope.sources import changes, frontmatter
 from folioscope.sources.tables import stored
 
@@ -671,3 +671,73 @@ def toc_matches(spark, sf_dir):
 )
 def lens_sections(spark, sf_dir):
     return report.lens(conv_lines(spark, sf_dir), r"(?i)^#+ (user|system)\s*$").groupBy("lens").agg(F.count(F.lit(1)).alias("n_sections"), F.sum("n_lines").alias("n_lines"))
+
+
+# Knowledge base
+
+
+@query("SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM masked WHERE NOT fence AND NOT inside GROUP BY doc_id", *_CONV, _SECTIONS)
+def prose_without_code(spark, sf_dir):
+    return knowledge.without_code(v.conv_md(spark, sf_dir))
+
+
+_REVISIONS = "revisions AS (SELECT * FROM (VALUES ('abcdef1', 'c1'), ('main', 'c1'), ('0123abc', 'c2')) AS t(name, commit))"
+
+
+@query(
+    "SELECT path, CASE WHEN m.verified_rev IS NULL THEN 'missing' WHEN NOT regexp_matches(m.verified_rev, '^[0-9a-fA-F]{7,64}$') THEN 'invalid' WHEN r.commit IS NULL THEN 'unresolved' WHEN r.commit = 'c1' THEN 'matches_base' ELSE 'differs_from_base' END AS baseline FROM memory_pages m LEFT JOIN revisions r ON m.verified_rev = r.name",
+    v.MEMORY_SQL, _REVISIONS,
+)
+def page_baselines(spark, sf_dir):
+    revisions = spark.createDataFrame([("abcdef1", "c1"), ("main", "c1"), ("0123abc", "c2")], "name string, commit string")
+    return knowledge.baselines(v.memory_pages(spark, sf_dir), revisions, "main")
+
+
+@query()
+def page_impact(spark, sf_dir):
+    revisions = spark.createDataFrame([("abcdef1", "c1"), ("main", "c1"), ("0123abc", "c2")], "name string, commit string")
+    changed = spark.createDataFrame([("a.md", None), ("b.md", "old.md")], "path string, previous_path string")
+    return knowledge.impact_report(changed, v.memory_pages(spark, sf_dir), revisions, "main")
+
+
+@query("SELECT path, CASE WHEN kind IS NULL THEN 'log-without-kind' ELSE 'log-in-other-folder' END AS issue FROM memory_pages WHERE type = 'log' AND (kind IS NULL OR kind IN ('feature', 'bug'))", v.MEMORY_SQL)
+def log_layout(spark, sf_dir):
+    return knowledge.log_layout(v.memory_pages(spark, sf_dir), {"feature": "logs/feature", "bug": "logs/bug"})
+
+
+@query(
+    "SELECT CAST(range_id AS VARCHAR) AS section_id, CAST(start_page AS INTEGER) AS start_page, CAST(end_page AS INTEGER) AS end_page, CASE WHEN start_page < 1 OR end_page < start_page THEN 'bad-range' WHEN end_page > 400 THEN 'beyond-last-page' END AS error FROM page_ranges",
+    v.RANGES_SQL,
+)
+def checked_sections(spark, sf_dir):
+    rows = v.page_ranges(spark, sf_dir).select(F.col("range_id").cast("string").alias("section_id"), F.col("start_page").cast("string"), F.col("end_page").cast("string"))
+    return knowledge.checked_sections(rows, F.lit(400))
+
+
+@query(
+    "SELECT m.path, m.type FROM memory_pages m WHERE m.type <> 'moc' AND m.path NOT IN (SELECT 'kb/' || CAST(doc_id * 2 AS VARCHAR) || '.md' FROM documents WHERE doc_id % 5 = 4)",
+    v.MEMORY_SQL,
+)
+def uncovered_pages(spark, sf_dir):
+    pages = v.memory_pages(spark, sf_dir)
+    i = F.col("doc_id")
+    maps = docs(spark, sf_dir).where(i % 5 == 4).select(F.concat(F.lit("maps/"), i.cast("string")).alias("src"), F.concat(F.lit("kb/"), (i * 2).cast("string"), F.lit(".md")).alias("path"))
+    both = pages.select("path", "type").unionByName(maps.select(F.col("src").alias("path"), F.lit("moc").alias("type")))
+    return knowledge.uncovered(both, maps)
+
+
+@query()
+def contents_text(spark, sf_dir):
+    heads = ln.headings(conv_lines(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("path"), "title")
+    entries = heads.distinct().withColumn("ord", F.row_number().over(Window.partitionBy("path").orderBy("title"))).select(F.col("path").alias("doc"), "ord", F.lit("Part").alias("part"), F.lit("Turns").alias("chapter"), "title", "path")
+    return knowledge.toc_text(entries, heads)
+
+
+@query(
+    "SELECT doc_id, line_no, image, caption, TRY_CAST(page AS INTEGER) AS page FROM (SELECT *, regexp_extract(src, 'p\\. ([0-9]+)', 1) AS page FROM (SELECT doc_id, line_no, line AS image, "
+    "first_value(CASE WHEN trim(line) <> '' THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS caption, "
+    "last_value(CASE WHEN starts_with(line, '> Source') THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS src FROM lines)) WHERE starts_with(image, '![[') AND starts_with(caption, 'Figure ')",
+    *_CONV,
+)
+def figure_pairs(spark, sf_dir):
+    return structure.figure_pairs(conv_lines(spark, sf_dir)).select("doc_id", "line_no", "image", "caption", "page")

@@ -316,3 +316,33 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("path string, kind string, text string").parquet(source)
     drift_stream.watch(stream, lambda: manifest, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/{n}"), str(tmp_path / "ck")).awaitTermination(120)
     assert {(r.path, r.action) for r in spark.read.parquet(f"{out}/0").collect()} == {("a", "update"), ("b", "create")}
+
+
+def test_knowledge(spark):
+    from folioscope.operators import knowledge as k
+
+    docs = spark.createDataFrame([(1, "a `x` b\n```\n[l](c)\n```\n<!-- [m](n) --> end ``y`z``")], "doc_id long, text string")
+    assert k.without_code(docs).first().text == "a  b\n end "
+    hooks = spark.createDataFrame([(1, "<b>x<e>"), (2, "<e>x<b>"), (3, "read memory first"), (4, None)], "doc_id long, text string")
+    assert {r.doc_id: r.status for r in k.hook_status(hooks, "<b>", "<e>", "read memory").collect()} == {1: "managed", 2: "invalid", 3: "legacy", 4: "missing"}
+    pages = spark.createDataFrame([("a", "active", "abcdef1", ["src"]), ("b", "active", "abcdef2", []), ("c", "archived", None, ["src"]), ("d", "active", "zzz", ["src/x.py"]), ("e", "active", "abcdef9", ["other"])], "path string, status string, verified_rev string, sources array<string>")
+    revisions = spark.createDataFrame([("abcdef1", "c1"), ("abcdef2", "c2"), ("main", "c1")], "name string, commit string")
+    changed = spark.createDataFrame([("src/x.py", None), ("src/x.py", None)], "path string, previous_path string")
+    got = {(r.path, r.n_changes, r.assessment, r.baseline) for r in k.impact_report(changed, pages, revisions, "main").collect()}
+    assert got == {("a", 1, "affected", "matches_base"), ("b", 0, "unassessable", "differs_from_base"), ("d", 1, "affected", "invalid")}
+    assert {r.baseline for r in k.baselines(pages, revisions, "main").where("path in ('c', 'e')").collect()} == {"missing", "unresolved"}
+    typed = spark.createDataFrame([("m", "moc"), ("p", "knowledge"), ("q", "log")], "path string, type string")
+    assert [r.path for r in k.uncovered(typed, spark.createDataFrame([("m", "p"), ("p", "q")], "src string, path string")).collect()] == ["q"]
+    logs = spark.createDataFrame([("logs/bug/a.md", "log", "bug"), ("logs/ui/b.md", "log", "bug"), ("x.md", "log", None)], "path string, type string, kind string")
+    assert {r.path: r.issue for r in k.log_layout(logs, {"bug": "logs/bug"}).collect()} == {"logs/ui/b.md": "log-in-other-folder", "x.md": "log-without-kind"}
+    sections = spark.createDataFrame([("a", "1", "5"), ("b", "6", None), ("c", "9", "3"), ("d", "x", "3"), ("e", "9", "11")], "section_id string, start_page string, end_page string")
+    assert {r.section_id: r.error for r in k.checked_sections(sections, F.lit(10)).collect()} == {"a": None, "b": None, "c": "bad-range", "d": "not-a-page", "e": "beyond-last-page"}
+    source = spark.createDataFrame([("b", "chapter", "t", "s.pdf", "h", 1, 2, {"title": "no", "more": "yes"})], "book string, kind string, title string, source_path string, source_hash string, start_page int, end_page int, extra map<string,string>")
+    row = k.provenance(source, "g", ["book", "chapter"]).first()
+    assert row.fields["title"] == "t" and row.fields["more"] == "yes" and row.fields["source_pages"] == "[1, 2]" and row.tags == ["book", "chapter"]
+    entries = spark.createDataFrame([("d", 1, "P", "C", "First section", "c.md"), ("d", 2, "P", "C", "Gone", "c.md")], "doc string, ord int, part string, chapter string, title string, path string")
+    heads = spark.createDataFrame([("c.md", "First  Section.")], "path string, title string")
+    assert k.toc_text(entries, heads).first().text == "## P\n### C\n- [[c.md#First  Section.|First section]]\n- Gone"
+    lines = spark.createDataFrame([(1, 1, 50.0, 100.0, 90.0, 110.0, "Press "), (1, 1, 105.0, 100.4, 150.0, 110.0, "now"), (1, 1, 300.0, 100.0, 350.0, 110.0, "far")], "doc long, page int, x0 double, y0 double, x1 double, y1 double, text string")
+    icon = spark.createDataFrame([(1, 1, 92.0, 101.0, 103.0, 109.0, "![[i.png]]")], "doc long, page int, x0 double, y0 double, x1 double, y1 double, embed string")
+    assert sorted(r.text for r in k.fragments_joined(lines, icon).collect()) == ["Press ![[i.png]] now", "far"]
