@@ -1,4 +1,4 @@
-"""Integrity rules over pages of a knowledge base: one DataFrame of findings for each rule, united at the end.
+"""Integrity rules over pages of a knowledge base.
 
 pages has path, type, status, updated, topic, verified, verified_rev, kind, task_status (strings), sources, source_logs
 (arrays of strings), supersedes (string) and body. A finding is (severity, rule, path).
@@ -6,8 +6,6 @@ pages has path, type, status, updated, topic, verified, verified_rev, kind, task
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,31 +19,36 @@ TASK_STATUSES = ("planned", "in_progress", "blocked", "done")
 STALE_DAYS = 90
 
 
-def rule(pages: DataFrame, severity: str, name: str, when: Column) -> DataFrame:
-    return pages.where(when).select(F.lit(severity).alias("severity"), F.lit(name).alias("rule"), "path")
+Rule = tuple[str, str, Column]
+
+
+def findings(pages: DataFrame, rules: list[Rule]) -> DataFrame:
+    """severity, rule and path of every rule that holds for a page; all rules are judged in one pass over the pages."""
+    said = [F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(name).alias("rule"))) for severity, name, when in rules]
+    return pages.select("path", F.explode(F.array_compact(F.array(*said))).alias("f")).select("f.severity", "f.rule", "path")
 
 
 def _blank(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
 
 
-def field_rules(pages: DataFrame, today: Column) -> list[DataFrame]:
+def field_rules(today: Column) -> list[Rule]:
     """Rules on single pages."""
     updated, verified = s.iso_date(F.col("updated")), s.iso_date(F.col("verified"))
     active = F.col("status") == "active"
     some = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0
     return [
-        *(rule(pages, "error", f"missing-{c}", _blank(c)) for c in ("type", "status", "updated", "topic")),
-        rule(pages, "error", "bad-type", ~_blank("type") & ~F.col("type").isin(*TYPES)),
-        rule(pages, "error", "bad-status", ~_blank("status") & ~F.col("status").isin(*STATUSES)),
-        rule(pages, "error", "bad-date", ~_blank("updated") & updated.isNull()),
-        rule(pages, "warning", "updated-in-future", updated > today),
-        rule(pages, "error", "verified-after-updated", (verified > updated) | (verified > today)),
-        rule(pages, "warning", "stale", active & F.col("type").isin("state", "knowledge") & (F.datediff(today, F.coalesce(verified, updated)) > STALE_DAYS)),
-        rule(pages, "error", "bad-verified-rev", F.col("verified_rev").isNotNull() & (verified.isNull() | ~s.is_revision(F.col("verified_rev")))),
-        rule(pages, "error", "bad-log-kind", (F.col("type") == "log") & F.col("kind").isNotNull() & ~F.col("kind").isin(*LOG_KINDS)),
-        rule(pages, "error", "bad-task-status", (F.col("type") == "log") & F.col("task_status").isNotNull() & ~F.col("task_status").isin(*TASK_STATUSES)),
-        rule(pages, "warning", "no-evidence", active & F.col("type").isin("knowledge", "decision") & ~some("sources") & ~some("source_logs")),
+        *(("error", f"missing-{c}", _blank(c)) for c in ("type", "status", "updated", "topic")),
+        ("error", "bad-type", ~_blank("type") & ~F.col("type").isin(*TYPES)),
+        ("error", "bad-status", ~_blank("status") & ~F.col("status").isin(*STATUSES)),
+        ("error", "bad-date", ~_blank("updated") & updated.isNull()),
+        ("warning", "updated-in-future", updated > today),
+        ("error", "verified-after-updated", (verified > updated) | (verified > today)),
+        ("warning", "stale", active & F.col("type").isin("state", "knowledge") & (F.datediff(today, F.coalesce(verified, updated)) > STALE_DAYS)),
+        ("error", "bad-verified-rev", F.col("verified_rev").isNotNull() & (verified.isNull() | ~s.is_revision(F.col("verified_rev")))),
+        ("error", "bad-log-kind", (F.col("type") == "log") & F.col("kind").isNotNull() & ~F.col("kind").isin(*LOG_KINDS)),
+        ("error", "bad-task-status", (F.col("type") == "log") & F.col("task_status").isNotNull() & ~F.col("task_status").isin(*TASK_STATUSES)),
+        ("warning", "no-evidence", active & F.col("type").isin("knowledge", "decision") & ~some("sources") & ~some("source_logs")),
     ]
 
 
@@ -72,8 +75,8 @@ def inspect(pages: DataFrame, today: Column) -> DataFrame:
     """All findings on pages, without repeats."""
     w = Window.partitionBy("type", "topic")
     active = pages.where("status = 'active'").withColumn("_n", F.count(F.lit(1)).over(w))
-    rules = [*field_rules(pages, today), rule(active, "error", "several-active", F.col("_n") > 1), supersession(pages)]
-    return reduce(DataFrame.unionByName, rules).distinct()
+    several = findings(active, [("error", "several-active", F.col("_n") > 1)])
+    return findings(pages, field_rules(today)).unionByName(several).unionByName(supersession(pages)).distinct()
 
 
 def budget(pages: DataFrame, page_limit: int = 6000, total_limit: int = 16000) -> DataFrame:
