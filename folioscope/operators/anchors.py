@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.operators import lines as ln
-
 CATEGORIES = ("frontmatter", "fenced_code", "inline_code", "markers", "numbers")
 
 # One alternation: what is matched first is not looked at again. Numbers are not part of identifiers; a date in CJK writing
@@ -24,25 +22,56 @@ def _body(line: Column) -> Column:
     return F.regexp_replace(no_time, r"^\s*[A-Z][A-Za-z .]{0,30}:\s+", "")
 
 
+_ANCHOR = "array<struct<line_no:int,value:string>>"
+
+
+def _fence_blocks(body: Column) -> Column:
+    """(start, end) of fenced blocks among lines: a fence is closed by the same character, at least as long, with nothing behind
+    it; a block that is never closed runs to the end."""
+    mark = lambda x: F.regexp_extract(F.trim(x), r"^(`{3,}|~{3,})", 1)
+    fences = F.filter(F.transform(body, lambda x, i: F.struct(i.alias("i"), mark(x).alias("mark"), F.trim(x).rlike(r"^(`{3,}|~{3,})$").alias("bare"))), lambda f: f["mark"] != "")
+    first = F.struct(F.lit("").alias("open"), F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def step(acc: Column, f: Column) -> Column:
+        opens = acc["open"] == ""
+        closes = ~opens & f["bare"] & (F.left(f["mark"], F.lit(1)) == F.left(acc["open"], F.lit(1))) & (F.length(f["mark"]) >= F.length(acc["open"]))
+        block = F.array(F.struct(acc["at"].alias("start"), f["i"].alias("end")))
+        return F.struct(
+            F.when(opens, f["mark"]).when(closes, "").otherwise(acc["open"]).alias("open"), F.when(opens, f["i"]).otherwise(acc["at"]).alias("at"), F.when(closes, F.concat(acc["out"], block)).otherwise(acc["out"]).alias("out")
+        )
+
+    rest = lambda acc: F.when(acc["open"] != "", F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (F.size(body) - 1).alias("end"))))).otherwise(acc["out"])
+    return F.aggregate(fences, first, step, rest)
+
+
 def anchors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, category, ord, line_no, value of every anchor of every text.
 
-    Frontmatter and fenced code are one anchor each, compared as they stand; prose lines give code, markers and numbers."""
-    rows = ln.explode_lines(docs, doc_id, text)
-    head = rows.withColumn("_rule", F.trim("line") == "---").withColumn("_first", F.min(F.when(F.col("line_no") == 0, F.col("_rule"))).over(ln.w().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    head = head.withColumn("_rules", F.sum(F.col("_rule").cast("int")).over(ln.so_far())).withColumn("_more", F.max("_rules").over(Window.partitionBy("doc_id")))
-    front = F.col("_first") & (F.col("_more") > 1) & ((F.col("_rules") == 1) | ((F.col("_rules") == 2) & F.col("_rule")))
-    marked = head.withColumn("_front", F.coalesce(front, F.lit(False)))
-    joined = lambda g, key: g.groupBy("doc_id", *key).agg(F.min("line_no").alias("line_no"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("value"))
-    front_rows = joined(marked.where("_front"), []).select("doc_id", F.lit("frontmatter").alias("category"), "line_no", F.lit(0).alias("pos"), "value")
-    body = ln.matched_fences(marked.where("not _front").select("doc_id", "line_no", "line"))
-    fenced = body.withColumn("_block", F.sum((F.col("is_fence") & ~F.col("in_fence")).cast("int")).over(ln.so_far())).where("is_fence or in_fence")
-    fence_rows = joined(fenced, ["_block"]).select("doc_id", F.lit("fenced_code").alias("category"), "line_no", F.lit(0).alias("pos"), "value")
-    prose = body.where("not is_fence and not in_fence").select("doc_id", "line_no", F.posexplode(F.regexp_extract_all(_body(F.col("line")), F.lit(BODY), F.lit(0))).alias("pos", "value"))
-    kind = F.when(F.col("value").startswith("`"), "inline_code").when(F.col("value").rlike(r"^[\[{]"), "markers").otherwise("numbers")
-    found = front_rows.unionByName(fence_rows).unionByName(prose.withColumn("category", kind).select("doc_id", "category", "line_no", "pos", "value"))
-    order = Window.partitionBy("doc_id", "category").orderBy("line_no", "pos")
-    return found.withColumn("ord", F.row_number().over(order) - 1).select("doc_id", "category", "ord", "line_no", "value")
+    Frontmatter and fenced code are one anchor each, compared as they stand; prose lines give code, markers and numbers. A map
+    over the documents, without a shuffle."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("ls"))
+    rule = F.array_position(F.transform(F.slice("ls", 2, F.size("ls")), F.trim), "---")
+    rows = rows.withColumn("front", F.when((F.trim(F.col("ls")[0]) == "---") & (rule > 0), rule.cast("int") + 1).otherwise(0))
+    rows = rows.withColumn("body", F.slice("ls", F.col("front") + 1, F.size("ls"))).withColumn("blocks", _fence_blocks(F.col("body")))
+    anchor = lambda n, value: F.struct(n.cast("int").alias("line_no"), value.alias("value"))
+    front = F.when(F.col("front") > 0, F.array(anchor(F.lit(0), F.array_join(F.slice("ls", 1, F.col("front")), "\n")))).otherwise(F.array().cast(_ANCHOR))
+    fenced = F.transform("blocks", lambda b: anchor(b["start"] + F.col("front"), F.array_join(F.slice("body", b["start"] + 1, b["end"] - b["start"] + 1), "\n")))
+    numbered = F.transform("body", lambda x, i: F.struct(i.alias("i"), x.alias("line")))
+    prose = F.filter(numbered, lambda t: ~F.exists("blocks", lambda b: t["i"].between(b["start"], b["end"])))
+    found = F.flatten(F.transform(prose, lambda t: F.transform(F.regexp_extract_all(_body(t["line"]), F.lit(BODY), F.lit(0)), lambda v: anchor(t["i"] + F.col("front"), v))))
+    rows = rows.select("doc_id", front.alias("frontmatter"), fenced.alias("fenced_code"), found.alias("found"))
+    kind = lambda x: F.when(x["value"].startswith("`"), "inline_code").when(x["value"].rlike(r"^[\[{]"), "markers").otherwise("numbers")
+    parts = {"frontmatter": F.col("frontmatter"), "fenced_code": F.col("fenced_code")} | {c: _of_kind(c, kind) for c in CATEGORIES[2:]}
+    placed = [F.transform(v, _placed(c)) for c, v in parts.items()]
+    return rows.select("doc_id", F.explode(F.concat(*placed)).alias("a")).select("doc_id", "a.category", "a.ord", "a.line_no", "a.value")
+
+
+def _of_kind(category: str, kind) -> Column:
+    return F.filter("found", lambda x: kind(x) == category)
+
+
+def _placed(category: str):
+    return lambda x, i: F.struct(F.lit(category).alias("category"), i.alias("ord"), x["line_no"].alias("line_no"), x["value"].alias("value"))
 
 
 def first_differences(source: DataFrame, candidate: DataFrame) -> DataFrame:
