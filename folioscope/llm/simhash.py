@@ -29,14 +29,19 @@ from folioscope.llm.components import components
 RUN_ROWS = 8192
 #: Shingles that are hashed at a time.
 _BLOCK = 1 << 17
-#: Near copies: bits of the fingerprint over shingles, and how many of them may differ. At a Jaccard similarity of 0.8 of
-#: the shingles 15.2 % of the bits differ on average (the angle of vectors with cosine 2J / (1 + J)), with a standard
-#: deviation of 3.2 points at 128 bits; at 0.65 it is 21.4 %, among unrelated texts about 50 %.
+#: Near copies: bits of the fingerprint over shingles, and how many of them may differ before a pair is compared. At a
+#: Jaccard similarity of 0.8 of the shingles 15.2 % of the bits differ on average (the angle of vectors with cosine
+#: 2J / (1 + J)), 19.5 of 128, with a standard deviation of 4.1; among unrelated texts half of them differ.
 COPY_BITS = 128
-COPY_MOST = 25
-#: Segments of 32 bits of the fingerprint over single words, which finds the candidates: a changed word changes one of its
-#: features, but five shingles.
-COPY_SEGMENTS = 6
+COPY_MOST = 34
+#: Jaccard similarity of the sets of shingles from which on two texts are near copies.
+SIMILARITY = 0.8
+#: Runs of one key of up to so many texts are spanned by their closest pairs.
+TREE_ROWS = 8192
+#: Segments, and their bits, of the fingerprint over single words, which finds the candidates: a changed word changes one of
+#: its features, but five shingles. Among texts at a similarity of 0.8, 5 % of its bits differ on average and 9 % in the
+#: worst twentieth; then one segment in three is within a bit.
+COPY_SEGMENTS, COPY_WIDTH = 8, 24
 
 
 def words(text: str | None) -> list[bytes]:
@@ -89,8 +94,9 @@ def _keys(segments: list[Column], width: int) -> Column:
     )
 
 
-def _near(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(rows ^ one).sum(axis=1)
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits along the last axis. Words are counted unsigned: of a negative one numpy counts its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64)
 
 
 def _forest(run: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -104,15 +110,36 @@ def _forest(run: np.ndarray, most: int) -> list[tuple[int, int]]:
             queue, left = [int(left[0])], left[1:]
         at = queue.pop()
         if len(left):
-            hit = _near(run[left], run[at]) <= most
+            hit = _distance(run[left], run[at]) <= most
             found = left[hit]
             links += [(at, int(x)) for x in found]
             queue += [int(x) for x in found]
             left = left[~hit]
 
 
-def _linked(most: int, payload: int, run_rows: int):
+def _closest(run: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links of a minimum spanning forest of a run by distance (Prim's algorithm): what hangs together over close pairs is
+    linked by close pairs. Runs of over TREE_ROWS get any spanning forest."""
+    n = len(run)
+    if n > TREE_ROWS:
+        return _forest(run, most)
+    links, out = [], np.ones(n, dtype=bool)
+    best, via = np.full(n, 1 << 30), np.zeros(n, dtype=np.int64)
+    at = 0
+    for _ in range(n - 1):
+        out[at] = False
+        gap = _distance(run, run[at])
+        nearer = out & (gap < best)
+        best[nearer], via[nearer] = gap[nearer], at
+        at = int(np.where(out, best, 1 << 31).argmin())
+        if best[at] <= most:
+            links.append((int(via[at]), at))
+    return links
+
+
+def _linked(most: int, payload: int, run_rows: int, closest: bool = False):
     """Over rows sorted by key: links of each run as (x..., y...), and rows of overlong runs with y null."""
+    links_of = _closest if closest else _forest
 
     def emit(x: np.ndarray, y: np.ndarray | None) -> pd.DataFrame:
         out = pd.DataFrame({f"x{i}": x[:, i] for i in range(payload)})
@@ -122,7 +149,7 @@ def _linked(most: int, payload: int, run_rows: int):
 
     def close(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         run = np.unique(run, axis=0)
-        pairs = np.array(_forest(run, most), dtype=np.int64).reshape(-1, 2)
+        pairs = np.array(links_of(run, most), dtype=np.int64).reshape(-1, 2)
         return run[pairs[:, 0]], run[pairs[:, 1]]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,7 +180,7 @@ def _linked(most: int, payload: int, run_rows: int):
             two = starts[stops - starts == 2]
             if len(two):
                 a, b = rows[two], rows[two + 1]
-                near = np.bitwise_count(a ^ b).sum(axis=1) <= most
+                near = _distance(a, b) <= most
                 xs.append(a[near])
                 ys.append(b[near])
             for a, b in zip(starts[stops - starts > 2], stops[stops - starts > 2], strict=True):
@@ -178,14 +205,14 @@ def _linked(most: int, payload: int, run_rows: int):
     return scan
 
 
-def candidate_links(nodes: DataFrame, segments: list[Column], width: int, payload: list[Column], most: int, run_rows: int = RUN_ROWS) -> DataFrame:
+def candidate_links(nodes: DataFrame, segments: list[Column], width: int, payload: list[Column], most: int, run_rows: int = RUN_ROWS, closest: bool = False) -> DataFrame:
     """Links between nodes whose payload (64-bit words) differs in at most most bits, found by shared variants of segments
     (longs of width bits). Columns x0.., y0..; rows with null y are members of overlong runs."""
     p = len(payload)
     keyed = nodes.select(*(c.alias(f"p{i}") for i, c in enumerate(payload)), F.explode(_keys(segments, width)).alias("key"))
     dealt = keyed.repartition("key").sortWithinPartitions("key")
     schema = ", ".join([f"x{i} long" for i in range(p)] + [f"y{i} long" for i in range(p)])
-    return dealt.mapInPandas(_linked(most, p, run_rows), schema)
+    return dealt.mapInPandas(_linked(most, p, run_rows, closest), schema)
 
 
 def _pair_links(fps: DataFrame, most: int, bits: int = 64) -> DataFrame:
@@ -227,18 +254,41 @@ def copy_signature(text: str | None, size: int = 5) -> np.ndarray:
     own = words(text)
     shingles = majority(shingle_hashes(own, size, digest=xxhash.xxh3_128_digest), COPY_BITS)
     features = [xxhash.xxh3_128_digest(w, 1) + xxhash.xxh64_digest(w, 2) for w in dict.fromkeys(own)]
-    segments = majority(iter([b"".join(features)] if features else []), 32 * COPY_SEGMENTS)
-    return np.concatenate([shingles.view(">i8").astype(np.int64), segments.view(">u4").astype(np.int64)])
+    segments = majority(iter([b"".join(features)] if features else []), COPY_WIDTH * COPY_SEGMENTS)
+    numbers = segments.reshape(COPY_SEGMENTS, -1).astype(np.int64) @ (256 ** np.arange(COPY_WIDTH // 8 - 1, -1, -1))
+    return np.concatenate([shingles.view(">i8").astype(np.int64), numbers])
 
 
-def without_near_copies(docs: DataFrame, size: int = 5, most: int = COPY_MOST, run_rows: int = 1 << 20) -> DataFrame:
-    """docs without near copies: of each group linked by fingerprints over shingles of ``size`` words, the row with the
-    least doc_id stays (of rows with one doc_id, one of them; a null doc_id comes last). All columns are kept.
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles."""
+    blocks = b"".join(shingle_hashes(words(text), size))
+    return np.unique(np.frombuffer(blocks, dtype=">u8").astype(np.uint64)).view(np.int64)
+
+
+def _similar(texts: DataFrame, pairs: DataFrame, named: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' sets of shingles reach the similarity. texts: text, _k1, _k2; named: node, _k1,
+    _k2 of one text for each node."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([shingle_set(t, size) for t in batch])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(named, "node")
+    sets = texts.join(ends, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select("node", shingles("text").alias("s"))
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def without_near_copies(docs: DataFrame, size: int = 5, most: int = COPY_MOST, similarity: float = SIMILARITY, run_rows: int = 1 << 20) -> DataFrame:
+    """docs without near copies: of each group linked by a similarity of their sets of shingles of ``size`` words, the row
+    with the least doc_id stays (of rows with one doc_id, one of them; a null doc_id comes last). All columns are kept.
 
     Texts without a word are copies of each other. Repeated rows are copies. An empty table stays empty. Candidates come
-    from one-wildcard variants of the words' segments; a link needs at most ``most`` differing bits of the shingles'
-    fingerprint, which corresponds to a similarity of 0.8. Only signatures are dealt out for that; texts move once, when
-    the rows that stay are picked.
+    from one-wildcard variants of the words' segments, of which those go whose shingles' fingerprints differ in more than
+    ``most`` bits; the sets of shingles of the others are compared.
     """
     columns = docs.columns
     wide = 2 + COPY_SEGMENTS
@@ -254,8 +304,11 @@ def without_near_copies(docs: DataFrame, size: int = 5, most: int = COPY_MOST, r
     best = F.min(F.struct("id", "_k1", "_k2")).alias("best")
     nodes = fps.groupBy("s0", "s1").agg(best, *(F.min(f"s{i}").alias(f"s{i}") for i in range(2, wide)))
     node = F.xxhash64("s0", "s1").alias("node")
-    found = candidate_links(nodes, [F.col(f"s{i}") for i in range(2, wide)], 32, [F.col("s0"), F.col("s1")], most, run_rows)
-    edges = stored(found.select(F.xxhash64("x0", "x1").alias("a"), F.xxhash64("y0", "y1").alias("b")).distinct(), "links")
+    found = candidate_links(nodes, [F.col(f"s{i}") for i in range(2, wide)], COPY_WIDTH, [F.col("s0"), F.col("s1")], most, run_rows, closest=True)
+    a, b = F.xxhash64("x0", "x1"), F.xxhash64("y0", "y1")
+    pairs = stored(found.where("y0 is not null").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "pairs")
+    named = nodes.select(node, "best._k1", "best._k2")
+    edges = stored(_similar(docs.select("text", *key), pairs, named, size, similarity), "links")
     member = components(edges).where("node <> root").withColumnRenamed("node", "member")
     rooted = nodes.select(node, "best").join(member, F.col("node") == F.col("member"), "left")
     kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best._k1", "best._k2")

@@ -241,6 +241,7 @@ def test_language_edges(spark):
     got = {(r.doc_id, r.lang_pred) for r in langid.identify(d).collect()}
     assert {(1, "und"), (2, "und"), (7, "und"), (9, "und"), (3, "en")} <= got
     assert langid.identify(d).columns == [*d.columns, "lang_pred", "score"]
+    assert langid.identify(d.selectExpr("*", "1 AS score", "'x' AS lang_pred")).where("lang_pred = 'en'").count() > 0
     from pyspark.sql import functions as F
 
     assert {r.lang_pred for r in langid.identify(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
@@ -306,7 +307,8 @@ def test_pii_adds_and_redacts(spark):
     weights = [-4.0] * 4 + [0.0, 0.0, 6.0, 0.0, 0.0, 0.0, 1.0]
     added = pii.find_spans(docs(spark, rows), weights).selectExpr("doc_id", "size(all_spans) - size(base_spans) AS n").collect()
     assert {r.n for r in added if r.doc_id < 100} == {1} and {r.n for r in added if r.doc_id == 100} == {0}
-    red = {r.doc_id: r for r in pii.redacted(docs(spark, rows)).collect()}
+    red = {r.doc_id: r for r in pii.redacted(docs(spark, rows).selectExpr("*", "'mine' AS base_spans")).collect()}
+    assert {r.base_spans for r in red.values()} == {"mine"}
     assert red[100].text == rows[-1][1] and red[100].n_chars == 0
     assert all("[EMAIL]" in red[i].text and "[IP]" in red[i].text and red[i].n_chars == len(red[i].text) for i in range(40))
 
@@ -364,6 +366,38 @@ def test_simhash(spark, run_rows):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_links_of_given_fingerprints(spark):
+    """Links by variants and runs against all pairs, for fingerprints with bits of any place set."""
+    from pyspark.sql import functions as F
+
+    rnd = np.random.default_rng(9)
+    base = rnd.integers(0, 1 << 63, 60, dtype=np.uint64) | (rnd.integers(0, 2, 60, dtype=np.uint64) << np.uint64(63))
+    flip = lambda x: x ^ np.uint64(1 << int(rnd.integers(0, 64)))
+    f = np.unique(np.array([*base, *(y for x in base for y in (flip(x), flip(flip(x)), x ^ np.uint64(1 << 63), x ^ np.uint64((1 << 63) | 1)))], dtype=np.uint64))
+    nodes = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long")
+    half = [F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))]
+    want = groups(f, 2)
+    for run_rows in (8192, 1):
+        found = simhash.candidate_links(nodes, half, 32, [F.col("fp")], 2, run_rows)
+        edges = found.where("y0 is not null").selectExpr("x0 AS a", "y0 AS b")
+        if run_rows == 1:
+            edges = edges.unionByName(simhash._pair_links(found.where("y0 is null").selectExpr("x0 AS fp").distinct(), 2))
+        at = {int(x): i for i, x in enumerate(f.view(np.int64))}
+        parent = list(range(len(f)))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges.distinct().collect():
+            assert bin(int(f[at[a]]) ^ int(f[at[b]])).count("1") <= 2
+            parent[max(find(at[a]), find(at[b]))] = min(find(at[a]), find(at[b]))
+        assert [find(i) for i in range(len(f))] == want
+    tree = simhash._closest(f.view(np.int64)[:, None], 2)
+    assert len(tree) == len(f) - len(set(want))
+
+
 def test_components(spark):
     from folioscope.llm.components import components
 
