@@ -143,7 +143,8 @@ def predict(texts: list[str], languages: list[str], prototypes: np.ndarray, dim:
 
 
 def identify(docs: DataFrame, text: str = "text", model: list[tuple[str, np.ndarray]] | None = None, dim: int = DIM) -> DataFrame:
-    """docs with the columns lang_pred and score added, by the given model or one trained on docs.
+    """docs with the columns lang_pred and score added, in place of any of these names, by the given model or one trained on
+    docs.
 
     und is said of null texts and texts without a letter, and of all if there is nothing to learn from. Rows are mapped
     one by one: repeated rows are predicted alike, further columns pass through, ties go to the first language by name.
@@ -160,4 +161,5 @@ def identify(docs: DataFrame, text: str = "text", model: list[tuple[str, np.ndar
                 found += predict(part, languages, prototypes, dim)
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    return docs.withColumn("_said", said(F.col(text))).select(*docs.columns, F.col("_said.lang_pred").alias("lang_pred"), F.col("_said.score").alias("score"))
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.withColumn("_said", said(F.col(text))).select(*kept, F.col("_said.lang_pred").alias("lang_pred"), F.col("_said.score").alias("score"))

@@ -239,16 +239,17 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kind(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def find_spans(docs: DataFrame, weights: list[float] | None = None, text: str = "text", least: float = 0.9) -> DataFrame:
-    """docs with base_spans and all_spans added: arrays of (start, kind number, end) in code points, by start, then kind.
+def find_spans(docs: DataFrame, weights: list[float] | None = None, text: str = "text", least: float = 0.9, names: tuple[str, str] = ("base_spans", "all_spans")) -> DataFrame:
+    """docs with base_spans and all_spans (or columns of other names) added, in place of any columns of these names: arrays of
+    (start, kind number, end) in code points, by start, then kind.
 
     A null text is empty and has none. least is the probability at which a candidate is accepted. Repeated rows and further
     columns pass through; an empty table gives an empty result.
     """
     weights = train(docs, text) if weights is None else weights
     whole = F.coalesce(F.col(text), F.lit(""))
-    base = docs.withColumn("base_spans", F.sort_array(F.concat(*(_base_of(k, whole) for k in KINDS))))
-    return base.withColumn("all_spans", F.sort_array(F.concat("base_spans", _accepted(whole, F.col("base_spans"), weights, least))))
+    base = docs.withColumn(names[0], F.sort_array(F.concat(*(_base_of(k, whole) for k in KINDS))))
+    return base.withColumn(names[1], F.sort_array(F.concat(names[0], _accepted(whole, F.col(names[0]), weights, least))))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -265,7 +266,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; overlapping spans are replaced together, by the first's
     kind. n_chars, where there is one and the text has changed, becomes the new length. Columns stay as they are."""
     columns = docs.columns
-    found = find_spans(docs)
+    found = find_spans(docs, names=("_pii_base", "_pii_all"))
     tag = lambda x: F.element_at(F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), x["kind"] + 1)
     first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -275,8 +276,8 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
     last = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
-    some = F.size("all_spans") > 0
-    out = found.withColumn("_new", F.when(some, F.aggregate("all_spans", first, step, last)).otherwise(F.col("text")))
+    some = F.size("_pii_all") > 0
+    out = found.withColumn("_pii_text", F.when(some, F.aggregate("_pii_all", first, step, last)).otherwise(F.col("text")))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(some, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_new")).select(*columns)
+        out = out.withColumn("n_chars", F.when(some, F.length("_pii_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col("_pii_text")).select(*columns)
