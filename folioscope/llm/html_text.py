@@ -141,7 +141,9 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             words.append(" ")
         if ends:
             if counts.get(name):
-                to = max(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name) if stack[-1][0] != name else len(stack) - 1
+                to = len(stack) - 1
+                while stack[to][0] != name:
+                    to -= 1
                 if any(bad for _, bad, _ in stack[to:]):
                     flush()
                 close(to)
