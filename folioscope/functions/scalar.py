@@ -294,7 +294,7 @@ def is_reliable(left: Column, right: Column) -> Column:
     return ~(F.contains(left, F.lit(BAD)) | F.contains(right, F.lit(BAD)))
 
 
-DEFINITION = r"^[-*+] (?:\*\* ?)?(?:\*{4})?\*\*([^*]+)\*\*\s*(?:—|–|:)\s*(.*)$"
+DEFINITION = r"^[-*+] (?:\*\* ?)?(?:\*\*)?\*\*([^*]+)\*\*\s*(?:—|–|:)\s*(.*)$"
 
 
 def definition(line: Column) -> Column:
@@ -317,3 +317,16 @@ def utc_stamp(at: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     return F.sha2(text, 256)
+
+
+def table_rows(markdown: Column) -> Column:
+    """Cells of a Markdown table's rows without its header and rule; an escaped bar is part of its cell."""
+    rows = F.filter(F.split(markdown, "\n"), lambda line: F.trim(line).startswith("|"))
+    body = F.filter(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda line: ~F.trim(line).rlike(r"^\|[\s:|-]+\|?$"))
+    inner = lambda line: F.regexp_replace(F.trim(line), r"^\||(?<!\\)\|$", "")
+    return F.transform(body, lambda line: F.transform(split_unescaped(inner(line), r"\|"), lambda c: F.trim(F.replace(c, F.lit("\\|"), F.lit("|")))))
+
+
+def first_cells(rows: Column) -> Column:
+    """Distinct first cells in order."""
+    return F.array_distinct(F.transform(rows, lambda r: r[0]))

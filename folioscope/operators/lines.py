@@ -183,13 +183,45 @@ def plain_source_references(lines: DataFrame) -> DataFrame:
 
 
 def definition_tables(lines: DataFrame, least: int = 2) -> DataFrame:
-    """Runs of definition items (blank lines between them count as part of the run) of at least two: doc_id, table_no,
-    first_line, n_rows and the table's Markdown."""
-    item = lines.withColumn("_d", s.definition(F.col("line"))).withColumn("_blank", F.trim("line") == "")
-    run = item.withColumn("_cut", (F.col("_d").isNull() & ~F.col("_blank")).cast("int")).withColumn("_run", F.sum("_cut").over(so_far())).where("_d is not null")
-    row = F.concat(F.lit("| **"), F.col("_d.label"), F.lit("** | "), s.cell_escaped_once(F.col("_d.description")), F.lit(" |"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("row")))), lambda x: x["row"])
-    return run.groupBy("doc_id", "_run").agg(F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_rows"), F.concat(F.lit("| Term | Description |\n| --- | --- |\n"), F.array_join(rows, "\n")).alias("table_md")).where(F.col("n_rows") >= least).drop("_run")
+    """Runs of definition items (blank lines between them count as part of the run) of at least two: doc_id, first_line, n_rows
+    and the table's Markdown. Indented lines in lower case right behind an item go on with its description."""
+    rows = lines.withColumn("_d", s.definition(F.col("line"))).withColumn("_is", F.col("_d").isNotNull()).withColumn("_like", ~F.col("_is") & F.col("line").rlike(r"^\s+\p{Ll}"))
+    rows = rows.withColumn("_part", F.sum(F.col("_is").cast("int")).over(so_far())).withColumn("_noise", F.sum((~F.col("_is") & ~F.col("_like")).cast("int")).over(so_far()))
+    since = F.max(F.when(F.col("_is"), F.col("_noise"))).over(Window.partitionBy("doc_id", "_part"))
+    rows = rows.withColumn("_more", F.col("_like") & F.coalesce(F.col("_noise") == since, F.lit(False)))
+    cut = ~F.col("_is") & ~F.col("_more") & (F.trim("line") != "")
+    held = rows.withColumn("_run", F.sum(cut.cast("int")).over(so_far())).where("_is or _more")
+    text = F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("_d.description", F.trim("line")).alias("t")))), lambda x: x["t"])
+    items = held.groupBy("doc_id", "_run", "_part").agg(F.min("line_no").alias("line_no"), F.max("_d.label").alias("label"), F.array_join(text, " ").alias("description"))
+    row = F.concat(F.lit("| **"), F.col("label"), F.lit("** | "), s.cell_escaped_once(F.col("description")), F.lit(" |"))
+    table = F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("row")))), lambda x: x["row"])
+    found = items.groupBy("doc_id", "_run").agg(F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_rows"), F.concat(F.lit("| Term | Description |\n| --- | --- |\n"), F.array_join(table, "\n")).alias("table_md"))
+    return found.where(F.col("n_rows") >= least).drop("_run")
+
+
+def merged_fences(lines: DataFrame) -> DataFrame:
+    """Lines with neighbouring code fences of one language merged, where a source line and blanks alone stand between; the
+    source line goes behind the merged fence."""
+    rows = fence_mask(lines, "backticks").withColumn("_open", F.col("is_fence") & ~F.col("in_fence")).withColumn("_close", F.col("is_fence") & F.col("in_fence"))
+    rows = rows.withColumn("_block", F.sum(F.col("_open").cast("int")).over(so_far()))
+    outside = ~F.col("is_fence") & ~F.col("in_fence")
+    of = Window.partitionBy("doc_id", "_block")
+    source = outside & F.col("line").rlike(s.SOURCE_LINE)
+    rows = rows.withColumn("_sources", F.sum(source.cast("int")).over(of)).withColumn("_texts", F.sum((outside & ~source & (F.trim("line") != "")).cast("int")).over(of))
+    rows = rows.withColumn("_language", F.max(F.when(F.col("_open"), F.trim("line"))).over(of))
+    block = rows.where("_open").select("doc_id", "_block", "_language", "_sources", "_texts")
+    order = Window.partitionBy("doc_id").orderBy("_block")
+    joins = (F.lead("_language").over(order) == F.col("_language")) & (F.col("_sources") == 1) & (F.col("_texts") == 0)
+    block = block.select("doc_id", "_block", F.coalesce(joins, F.lit(False)).alias("_on")).withColumn("_from", F.coalesce(F.lag("_on").over(order), F.lit(False)))
+    block = block.withColumn("_group", F.sum((~F.col("_from")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(block, ["doc_id", "_block"], "left")
+    on, from_ = F.coalesce("_on", F.lit(False)), F.coalesce("_from", F.lit(False))
+    last = F.max(F.when(F.col("_close"), F.col("line_no"))).over(Window.partitionBy("doc_id", "_group"))
+    gone = (F.col("_open") & from_) | (F.col("_close") & on) | (outside & on & (F.trim("line") == ""))
+    at = F.when(outside & on, last + F.lit(0.5)).otherwise(F.col("line_no").cast("double"))
+    kept = rows.withColumn("_at", at).withColumn("_gone", gone).where("not _gone")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("_at", "line_no")) - 1
+    return kept.select("doc_id", place.alias("line_no"), "line")
 
 
 CALLOUT_LEAD = r"^(?:\*\*)?(Note|Tip|Warning|Important|Caution|Example|Info)(?::\*\*|\*\*:|\*\*|:)\s*(.*)$"

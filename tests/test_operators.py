@@ -84,7 +84,17 @@ def test_roman_and_lists(spark):
     assert ln.unordered_spacing(lines_of(spark, "- First item\n\nPossible paragraph boundary.\n\n- Second item\n")).count() == 0
 
 
+def test_tables_and_fences(spark):
+    md = "| A | B |\n| --- | :-: |\n| x \\| y | 1 |\n| z |  |\n| z | 2 |"
+    row = spark.createDataFrame([(md,)], "t string").select(s.table_rows(F.col("t")).alias("r")).select("r", s.first_cells(F.col("r")).alias("f")).first()
+    assert row.r == [["x | y", "1"], ["z", ""], ["z", "2"]] and row.f == ["x | y", "z"]
+    text = "a\n```cpp\none\n```\n\n> Source PDF, p. 3\n\n```cpp\ntwo\n```\nb\n```sh\nx\n```\nc"
+    assert ln.join_lines(ln.merged_fences(lines_of(spark, text))).first().text == "a\n```cpp\none\ntwo\n```\n> Source PDF, p. 3\nb\n```sh\nx\n```\nc"
+
+
 def test_definition_tables(spark):
+    wrapped = "- **Animation**—brings pages alive\n  and responsive.\n- ** ****Operating system**: Windows 10"
+    assert ln.definition_tables(lines_of(spark, wrapped)).first().table_md.split("\n")[2:] == ["| **Animation** | brings pages alive and responsive. |", "| **Operating system** | Windows 10 |"]
     text = "- **Animation**—brings pages alive\n- **Anthropology**: study | of\n\ntext\n\n- **Only one**—stays"
     rows = ln.definition_tables(lines_of(spark, text)).collect()
     assert [(r.first_line, r.n_rows) for r in rows] == [(0, 2)] and "| **Anthropology** | study \\| of |" in rows[0].table_md
