@@ -19,9 +19,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 import re
 from collections.abc import Iterable
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of one generation of the cache of pieces; at most two generations are held.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 300_000
 #: A longer piece is encoded but not cached.
 CACHED_PIECE = 64
 _MASK = (1 << 32) - 1
@@ -93,14 +93,17 @@ class PerfectHash:
 
 def merge_bytes(token: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Merge a pre-token by a heap of pairs over a linked list of its parts."""
-    n = len(token)
+    n, get = len(token), ranks.get
     end = list(range(1, n + 1))  # where the part that begins at i ends; 0 once it is swallowed
     before = list(range(-1, n - 1))
-    get = ranks.get
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(token[i : i + 2])) is not None]
-    heapq.heapify(heap)
+    # a heap entry is one integer: rank, start and stop of a pair side by side
+    w = n.bit_length()
+    mask = (1 << w) - 1
+    heap = [(((r << w) | i) << w) | (i + 2) for i in range(n - 1) if (r := get(token[i : i + 2])) is not None]
+    heapify(heap)
     while heap:
-        _, i, stop = heapq.heappop(heap)
+        entry = heappop(heap)
+        stop, i = entry & mask, (entry >> w) & mask
         middle = end[i]
         if not middle or middle >= n or end[middle] != stop:
             continue  # one of the two parts has changed since
@@ -108,9 +111,9 @@ def merge_bytes(token: bytes, ranks: dict[bytes, int]) -> list[int]:
         if stop < n:
             before[stop] = i
             if (r := get(token[i : end[stop]])) is not None:
-                heapq.heappush(heap, (r, i, end[stop]))
+                heappush(heap, (((r << w) | i) << w) | end[stop])
         if (p := before[i]) >= 0 and (r := get(token[p:stop])) is not None:
-            heapq.heappush(heap, (r, p, stop))
+            heappush(heap, (((r << w) | p) << w) | stop)
     out, i = [], 0
     while i < n:
         out.append(ranks[token[i : end[i]]])
@@ -151,10 +154,12 @@ class Codec:
         return ids
 
     def _piece(self, piece: str) -> tuple[int, ...]:
+        if piece[1:].isalpha() and piece[0] == " ":
+            return self.pretoken(piece)  # a word alone, as most pieces are
         tokens = self.find(piece)
-        if len(tokens) == 1:
-            return self.pretoken(piece)
-        return tuple(chain.from_iterable(self._kept(t, self.pretoken) for t in tokens))
+        young, old, new = self.young.get, self.old.get, self.pretoken
+        # a pre-token is often a piece elsewhere; here it is only looked up, so that the cache holds no part twice
+        return tuple(chain.from_iterable([young(t) or old(t) or new(t) for t in tokens]))
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text, special tokens being ordinary text."""
