@@ -66,8 +66,27 @@ def gram_vectors(points: np.ndarray, dim: int = DIM) -> np.ndarray:
     return np.roll(base, 2, axis=1)[code[:, 0]] * np.roll(base, 1, axis=1)[code[:, 1]] * base[code[:, 2]]
 
 
+def slices(text: str, size: int = _CHUNK) -> Iterator[str]:
+    """A long text in parts that meet at spaces, so that the parts' trigrams are the text's."""
+    at = 0
+    while len(text) - at > size:
+        cut = text.rfind(" ", at + 1, at + size)
+        cut = text.find(" ", at + size) if cut < 0 else cut
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def bundles(texts: list[str], dim: int = DIM) -> np.ndarray:
-    """A row for each text: the sum of its trigrams' vectors; zeros if it has no letter."""
+    """A row for each text: the sum of its trigrams' vectors; zeros if it has no letter. Longer texts are read in parts."""
+    if sum(map(len, texts)) <= _CHUNK:
+        return _bundles(texts, dim)
+    return np.array([np.sum([_bundles([part], dim)[0] for part in slices(t)], axis=0) for t in texts])
+
+
+def _bundles(texts: list[str], dim: int) -> np.ndarray:
     out = np.zeros((len(texts), dim), dtype=np.float64)
     doc, gram, counts, points = trigrams(texts)
     if not len(doc):

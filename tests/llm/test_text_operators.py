@@ -258,6 +258,9 @@ def test_bundles_are_bound_trigrams():
                 out += np.roll(v(a), 2) * np.roll(v(b), 1) * v(c)
         return out
 
+    assert "".join(langid.slices("ab cd ef " * 50, 20)) == "ab cd ef " * 50
+    parts = [langid.bundles([p])[0] for p in langid.slices("the cat sat on the mat " * 40, 50)]
+    assert len(parts) > 5 and (sum(parts) == langid.bundles(["the cat sat on the mat " * 40])[0]).all()
     texts = ["the cat, the hat", "", "été 12 ß", "a"]
     got = langid.bundles(texts)
     assert all((got[i] == slow(t)).all() for i, t in enumerate(texts))
