@@ -24,15 +24,14 @@ from collections.abc import Iterable
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
-import numpy as np
 import pandas as pd
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of one generation of the cache of pieces; at most two generations are held.
-CACHE_ENTRIES = 300_000
+#: Entries of one generation of the cache of pieces, of which two are held at most: about 300 MB in each worker.
+CACHE_ENTRIES = 600_000
 #: A longer piece is encoded but not cached.
 CACHED_PIECE = 64
 _MASK = (1 << 32) - 1
