@@ -29,19 +29,14 @@ from folioscope.llm.components import components
 RUN_ROWS = 8192
 #: Shingles that are hashed at a time.
 _BLOCK = 1 << 17
-#: Near copies: bits of the fingerprint over shingles, and how many of them may differ before a pair is compared. At a
-#: Jaccard similarity of 0.8 of the shingles 15.2 % of the bits differ on average (the angle of vectors with cosine
-#: 2J / (1 + J)), 19.5 of 128, with a standard deviation of 4.1; among unrelated texts half of them differ.
-COPY_BITS = 128
-COPY_MOST = 34
 #: Jaccard similarity of the sets of shingles from which on two texts are near copies.
 SIMILARITY = 0.8
 #: Runs of one key of up to so many texts are spanned by their closest pairs.
 TREE_ROWS = 8192
-#: Segments, and their bits, of the fingerprint over single words, which finds the candidates: a changed word changes one of
-#: its features, but five shingles. Among texts at a similarity of 0.8, 5 % of its bits differ on average and 9 % in the
-#: worst twentieth; then one segment in three is within a bit.
-COPY_SEGMENTS, COPY_WIDTH = 8, 24
+#: Bits of a set's parity word, and buckets of the counts by which shingles are ordered.
+PARITY_BITS, BUCKETS = 256, 1 << 20
+#: Runs of one shingle of up to so many texts are compared in full at once; those of more first by nearest pairs.
+FEW_ROWS = 16
 
 
 def words(text: str | None) -> list[bytes]:
@@ -249,16 +244,6 @@ def near_duplicates(docs: DataFrame, size: int = 3, most: int = 2, run_rows: int
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def copy_signature(text: str | None, size: int = 5) -> np.ndarray:
-    """Words of 64 bits: the shingles' fingerprint, then the segments of the fingerprint over the set of words."""
-    own = words(text)
-    shingles = majority(shingle_hashes(own, size, digest=xxhash.xxh3_128_digest), COPY_BITS)
-    features = [xxhash.xxh3_128_digest(w, 1) + xxhash.xxh64_digest(w, 2) for w in dict.fromkeys(own)]
-    segments = majority(iter([b"".join(features)] if features else []), COPY_WIDTH * COPY_SEGMENTS)
-    numbers = segments.reshape(COPY_SEGMENTS, -1).astype(np.int64) @ (256 ** np.arange(COPY_WIDTH // 8 - 1, -1, -1))
-    return np.concatenate([shingles.view(">i8").astype(np.int64), numbers])
-
-
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Distinct 64-bit hashes of the shingles."""
     blocks = b"".join(shingle_hashes(words(text), size))
@@ -282,34 +267,202 @@ def _similar(texts: DataFrame, pairs: DataFrame, named: DataFrame, size: int, si
     return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def without_near_copies(docs: DataFrame, size: int = 5, most: int = COPY_MOST, similarity: float = SIMILARITY, run_rows: int = 1 << 20) -> DataFrame:
+def shingle_counts(docs: DataFrame, size: int, blocks: int = 64) -> np.ndarray:
+    """Number of texts by bucket of shingles. It decides the order of shingles alone, never the result."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                np.add.at(total, shingle_set(text, size) & (BUCKETS - 1), 1)
+        yield pd.DataFrame({"block": range(blocks), "counts": [x.tobytes() for x in np.split(total, blocks)]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x, dtype=np.int64) for x in pdf["counts"]], axis=0)
+        return pd.DataFrame({"block": pdf["block"][:1], "counts": [total.astype(np.int64).tobytes()]})
+
+    schema = "block int, counts binary"
+    out = np.zeros((blocks, BUCKETS // blocks), dtype=np.int64)
+    for r in docs.select("text").mapInPandas(count, schema).groupBy("block").applyInPandas(add, schema).collect():
+        out[r.block] = np.frombuffer(r.counts, dtype=np.int64)
+    return np.minimum(out.ravel(), (1 << 31) - 1).astype(np.int32)
+
+
+def copy_signature(text: str | None, size: int, similarity: float, counts: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """(two words that name the set of shingles, its size, its parity words) and its rarest shingles: of two sets that reach
+    the similarity each has one among the other's, as a set that lacks all of them shares too few."""
+    own = shingle_set(text, size)
+    name = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype=np.int64)
+    odd = np.packbits(np.bincount(own >> 24 & (PARITY_BITS - 1), minlength=PARITY_BITS).astype(np.uint8) & 1).view(np.int64)
+    rare = own[np.lexsort((own, counts[own & (BUCKETS - 1)]))]
+    most = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+    return [*name.tolist(), len(own), *odd.tolist()], rare[: most if len(own) else 0]
+
+
+_ROW = ["node", "n", "pos", *(f"b{i}" for i in range(PARITY_BITS // 64)), "root"]
+
+
+def _possible(x: np.ndarray, y: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows (_ROW) can reach the similarity, and how many shingles they differ in at least. Sizes, the places
+    of the shared shingle, as that of the first one, and parities bound the shared part from above, without a loss."""
+    n, m = x[..., 1], y[..., 1]
+    gap = _distance(x[..., 3:-1], y[..., 3:-1])
+    shared = np.minimum(n - x[..., 2], m - y[..., 2])
+    able = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
+    able &= shared * (1 + similarity) >= similarity * (n + m) - 1e-6
+    able &= gap * (1 + similarity) <= (1 - similarity) * (n + m) + 1e-6
+    return able & ((x[..., -1] != y[..., -1]) | (x[..., -1] == 0)), gap
+
+
+def _run_pairs(run: np.ndarray, similarity: float, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Possible pairs of a run: all of them, or each row's nearest."""
+    step = max(1, (1 << 20) // len(run))
+    for at in range(0, len(run), step):
+        part = run[at : at + step]
+        able, gap = _possible(part[:, None], run[None, :], similarity)
+        here = np.arange(at, at + len(part))
+        if nearest:
+            able[np.arange(len(part)), here] = False
+            best = np.where(able, gap, 1 << 30).argmin(axis=1)
+            hit = able[np.arange(len(part)), best]
+            yield part[hit, 0], run[best[hit], 0]
+        else:
+            i, j = np.nonzero(able & (np.arange(len(run))[None, :] > here[:, None]))
+            yield part[i, 0], run[j, 0]
+
+
+def _possible_pairs(similarity: float, run_rows: int | None, nearest: bool):
+    """Over rows sorted by key: pairs (a, b) of each run that can reach the similarity; all of them, or with nearest those of
+    runs of up to FEW_ROWS and of longer runs each row's nearest. With nearest, rows of longer runs follow with kind 1, to be
+    compared in full, and those of runs of over run_rows with kind 2 instead."""
+    columns = ["key", *_ROW]
+
+    def emit(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        out = pd.DataFrame(np.unique(np.stack([a, b], axis=1), axis=0), columns=["a", "b"])
+        out["kind"] = 0
+        return out.assign(**dict.fromkeys(columns, 0))
+
+    def left(keys: np.ndarray, rows: np.ndarray, kind: int) -> pd.DataFrame:
+        out = pd.DataFrame(np.column_stack([keys, rows]), columns=columns)
+        out.insert(0, "kind", kind)
+        out.insert(0, "b", 0)
+        out.insert(0, "a", 0)
+        return out
+
+    def close(keys: np.ndarray, rows: np.ndarray) -> Iterator[pd.DataFrame]:
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+        sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+        few = np.repeat(sizes <= FEW_ROWS, sizes)
+        some_keys, some = keys[few], rows[few]
+        active, d, xs, ys = np.arange(len(some)), 1, [], []
+        while True:
+            active = active[active + d < len(some)]
+            active = active[some_keys[active] == some_keys[active + d]]
+            if not len(active):
+                break
+            able, _ = _possible(some[active], some[active + d], similarity)
+            xs.append(some[active[able], 0])
+            ys.append(some[active[able] + d, 0])
+            d += 1
+        if xs:
+            yield emit(np.concatenate(xs), np.concatenate(ys))
+        for start, n in zip(starts[sizes > FEW_ROWS], sizes[sizes > FEW_ROWS], strict=True):
+            run = rows[start : start + n]
+            if nearest and run_rows and n > run_rows:
+                yield left(keys[start : start + n], run, 2)
+                continue
+            if not nearest and run[0, -1] and (run[:, -1] == run[0, -1]).all():
+                continue
+            for x, y in _run_pairs(run, similarity, nearest):
+                yield emit(x, y)
+            if nearest:
+                yield left(keys[start : start + n], run, 1)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, parts, long = np.zeros(0, dtype=np.int64), [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            now, rows = batch["key"].to_numpy(), batch[_ROW].to_numpy(dtype=np.int64)
+            if long is not None:
+                same = now == long
+                if same.any():
+                    yield left(now[same], rows[same], 2)
+                    now, rows = now[~same], rows[~same]
+                if not len(now):
+                    continue
+                long = None
+            if len(keys) and now[-1] == keys[0]:  # all of one run
+                keys, parts = np.concatenate([keys, now]), [*parts, rows]
+            else:
+                keys, rows = np.concatenate([keys, now]), np.concatenate([*parts, rows])
+                cut = int(np.searchsorted(keys, keys[-1], "left"))
+                yield from close(keys[:cut], rows[:cut])
+                keys, parts = keys[cut:], [rows[cut:]]
+            if nearest and run_rows and len(keys) > max(run_rows, FEW_ROWS):
+                yield left(keys, np.concatenate(parts), 2)
+                long, keys, parts = keys[0], keys[:0], []
+        if len(keys):
+            yield from close(keys, np.concatenate(parts))
+
+    schema = ", ".join(f"{c} long" for c in ["a", "b", "kind", *columns])
+    return lambda rows: rows.select(*columns).repartition("key").sortWithinPartitions("key").mapInPandas(scan, schema)
+
+
+def _tiles(rows: DataFrame, run_rows: int) -> DataFrame:
+    """Rows of overlong runs under keys of pairs of tiles, so that any two rows of a run share a key, and about run_rows rows
+    each."""
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    n = F.greatest(F.lit(2), F.ceil(F.col("k") * 2 / run_rows)).cast("long")
+    tiled = rows.join(F.broadcast(counts), "key").withColumn("tiles", n).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    # an end meets each other tile in a key; its own tile comes with every one of them
+    dealt = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).where("other <> tile")
+    return dealt.withColumn("key", F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))).select("key", *_ROW)
+
+
+def without_near_copies(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY, run_rows: int = RUN_ROWS) -> DataFrame:
     """docs without near copies: of each group linked by a similarity of their sets of shingles of ``size`` words, the row
     with the least doc_id stays (of rows with one doc_id, one of them; a null doc_id comes last). All columns are kept.
 
-    Texts without a word are copies of each other. Repeated rows are copies. An empty table stays empty. Candidates come
-    from one-wildcard variants of the words' segments, of which those go whose shingles' fingerprints differ in more than
-    ``most`` bits; the sets of shingles of the others are compared.
+    Texts without a word are copies of each other. Repeated rows are copies. An empty table stays empty. The groups are
+    those of comparing all pairs: any two texts that reach the similarity share one of their rarest shingles. Of long runs
+    of one shingle each text is first compared with its nearest one; then all pairs that are not linked yet.
     """
     columns = docs.columns
-    wide = 2 + COPY_SEGMENTS
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, size))
+    names = ["h0", "h1", "n", *_ROW[3:-1]]
 
-    @F.pandas_udf("array<long>")
-    def signature(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(f"struct<{', '.join(f'{c}: long' for c in names)}, rare: array<long>>")
+    def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.Series([copy_signature(t, size) for t in batch])
+            own = [copy_signature(t, size, similarity, counts.value) for t in batch]
+            out = pd.DataFrame([x for x, _ in own], columns=names, dtype="int64")
+            out["rare"] = [x for _, x in own]
+            yield out
 
     key = [F.xxhash64(F.lit(n), F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))).alias(f"_k{n}") for n in (1, 2)]
     signed = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), *key, signature("text").alias("s"))
-    fps = stored(signed.select("id", "_k1", "_k2", *(F.col("s")[i].alias(f"s{i}") for i in range(wide))), "copies")
+    sets = stored(signed.select("id", "_k1", "_k2", "s.*"), "copies")
     best = F.min(F.struct("id", "_k1", "_k2")).alias("best")
-    nodes = fps.groupBy("s0", "s1").agg(best, *(F.min(f"s{i}").alias(f"s{i}") for i in range(2, wide)))
-    node = F.xxhash64("s0", "s1").alias("node")
-    found = candidate_links(nodes, [F.col(f"s{i}") for i in range(2, wide)], COPY_WIDTH, [F.col("s0"), F.col("s1")], most, run_rows, closest=True)
-    a, b = F.xxhash64("x0", "x1"), F.xxhash64("y0", "y1")
-    pairs = stored(found.where("y0 is not null").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "pairs")
-    named = nodes.select(node, "best._k1", "best._k2")
-    edges = stored(_similar(docs.select("text", *key), pairs, named, size, similarity), "links")
+    same = sets.groupBy("h0", "h1").agg(best, *(F.first(c).alias(c) for c in [*names[2:], "rare"]))
+    nodes = stored(same.withColumn("node", F.xxhash64("h0", "h1")), "nodes")
+    keyed = nodes.select("node", "n", *_ROW[3:-1], F.lit(0).cast("long").alias("root"), F.posexplode("rare").alias("pos", "key"))
+    named, texts = nodes.select("node", "best._k1", "best._k2"), docs.select("text", *key)
+
+    found = stored(_possible_pairs(similarity, run_rows, True)(keyed), "near")
+    overlong = found.where("kind = 2")
+    if not overlong.isEmpty():
+        found = found.unionByName(stored(_possible_pairs(similarity, None, True)(_tiles(overlong, run_rows)), "near"))
+    pairs = stored(found.where("kind = 0").select("a", "b").distinct(), "pairs")
+    edges = stored(_similar(texts, pairs, named, size, similarity), "links")
+    rest = found.where("kind = 1")
+    if not rest.isEmpty():
+        roots = components(edges).withColumnRenamed("root", "r")
+        rooted = rest.drop("root").join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").withColumn("root", F.coalesce("r", "node"))
+        more = _possible_pairs(similarity, None, False)(rooted).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        edges = edges.unionByName(stored(_similar(texts, stored(more, "pairs"), named, size, similarity), "links"))
     member = components(edges).where("node <> root").withColumnRenamed("node", "member")
-    rooted = nodes.select(node, "best").join(member, F.col("node") == F.col("member"), "left")
+    rooted = nodes.select("node", "best").join(member, F.col("node") == F.col("member"), "left")
     kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best._k1", "best._k2")
     return docs.select(*columns, *key).join(kept, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(*columns)
