@@ -60,3 +60,15 @@ def test_groups_of_variants(spark, n):
     texts = [" ".join(base)] + [scattered(rnd, base, rnd.randint(2, 4)) for _ in range(n)] + [" ".join(prose(rnd, 200)) for _ in range(20)]
     assert kept(spark, texts) == brute(texts)
     assert len(brute(texts)) == 21
+
+
+def test_block_edits(spark):
+    rnd = random.Random(3)
+    texts = []
+    for _ in range(150):
+        base = prose(rnd, 300)
+        m = rnd.randint(20, 90)
+        at = rnd.randint(0, 200)
+        texts += [" ".join(base), " ".join(base + prose(rnd, m)), " ".join(base[:-m]), " ".join(base[:at] + prose(rnd, m) + base[at:])]
+    want = brute(texts)
+    assert kept(spark, texts) == want and 150 < len(want) < 450
