@@ -72,3 +72,14 @@ def test_block_edits(spark):
         texts += [" ".join(base), " ".join(base + prose(rnd, m)), " ".join(base[:-m]), " ".join(base[:at] + prose(rnd, m) + base[at:])]
     want = brute(texts)
     assert kept(spark, texts) == want and 150 < len(want) < 450
+
+
+@pytest.mark.parametrize("run_rows", [20, 100])
+def test_overlong_runs(spark, run_rows):
+    rnd = random.Random(4)
+    line = prose(rnd, 150)
+    texts = []
+    for _ in range(60):  # all share most of their shingles, and are copies within sixes
+        base = line + prose(rnd, 60)
+        texts += [scattered(rnd, base, 2) for _ in range(6)]
+    assert kept(spark, texts, run_rows=run_rows) == brute(texts)
