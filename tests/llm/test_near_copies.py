@@ -83,3 +83,10 @@ def test_overlong_runs(spark, run_rows):
         base = line + prose(rnd, 60)
         texts += [scattered(rnd, base, 2) for _ in range(6)]
     assert kept(spark, texts, run_rows=run_rows) == brute(texts)
+
+
+def test_repeats_are_no_copies(spark):
+    rnd = random.Random(6)
+    line = " ".join(prose(rnd, 7)) + " "
+    texts = [line * 200 + " ".join(prose(rnd, 120)) for _ in range(8)] + ["same " * 250 + " ".join(prose(rnd, 200)) for _ in range(8)]
+    assert kept(spark, texts) == brute(texts) == list(range(16))
