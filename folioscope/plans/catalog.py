@@ -595,7 +595,7 @@ def change_records(spark, sf_dir):
 
 
 def page_dicts(spark, sf_dir) -> DataFrame:
-    rows = ln.explode_lines(docs(spark, sf_dir)).where(F.col("line_no") < 2000)
+    rows = ln.explode_lines(docs(spark, sf_dir))
     n = F.col("line_no")
     y, size = 70.0 + 14.0 * (n % 50), F.when(n % 10 == 0, 18.0).when(n % 10 == 5, 14.0).otherwise(10.0)
     box = F.array(F.lit(50.0), y, 50.0 + 5.0 * F.length("line"), y + size)
