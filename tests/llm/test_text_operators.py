@@ -145,6 +145,15 @@ def test_packing_query(spark):
     assert n <= -(-sum(r.length for r in rows) // 1024) * 1.02 + 1
 
 
+def test_packing_added_tokens(spark):
+    own, tokenizer = P.path("byte_bpe_50k.json"), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n b <|endoftext", "plain"]
+    rows = packing.pack_documents(docs(spark, list(enumerate(texts))), own).collect()
+    want = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], dtype="<u4") for i, t in enumerate(texts)}
+    assert list(want[0]) == [31373, 220, 50256, 995, 2]
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in rows} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+
+
 def test_packing_edges(spark):
     rows = packing.pack_documents(docs(spark, EDGE), P.path("byte_bpe_50k.json"), group_docs=3).collect()
     once = {i: t for i, t in EDGE if i not in (None, 5)}
