@@ -90,3 +90,10 @@ def test_repeats_are_no_copies(spark):
     line = " ".join(prose(rnd, 7)) + " "
     texts = [line * 200 + " ".join(prose(rnd, 120)) for _ in range(8)] + ["same " * 250 + " ".join(prose(rnd, 200)) for _ in range(8)]
     assert kept(spark, texts) == brute(texts) == list(range(16))
+
+
+def test_overlong_run_of_variants(spark):
+    rnd = random.Random(8)
+    base = prose(rnd, 200)
+    texts = [" ".join(base)] + [scattered(rnd, base, 4) for _ in range(120)]
+    assert kept(spark, texts, run_rows=20) == brute(texts) == [0]
