@@ -1,14 +1,15 @@
-"""Main text of web pages: markup first, a host suffix array for what markup leaves open.
+"""Main text of web pages: markup proposes, and a host suffix array decides what markup leaves open.
 
 A page is read into blocks of text. Markup marks a block as content (inside an article or main element and under nothing
 that is boilerplate) or as boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments, by element,
-role or class). Pages without an article or main element leave the rest open. For these a suffix array decides: the tokens
-of the blocks outside articles are concatenated, page by page, over the pages of a host; suffixes are sorted to a depth of
-RUN tokens; runs of that length which stand on two distinct pages of the host are boilerplate, and so is every token that
-such a run covers. Open blocks lose their covered tokens and keep their unique runs.
+role or whole name). A block under an element of which only a part of a name speaks against it is a suspect, in articles,
+too; unmarked blocks of pages without an article or main element are open. For both a suffix array decides: the tokens of all blocks that are not content are concatenated, page by page, over the pages of a host; suffixes
+are sorted to a depth of RUN tokens; runs of that length, and whole suspects that are shorter, which stand on two distinct
+pages of the host are boilerplate, and so is every token that such a run covers. Open blocks lose their covered tokens and
+keep their unique runs.
 
-Text inside an article is never taken away for being repeated: copies of an article, and passages that several articles
-share, are main text of each.
+Other text inside an article is never taken away for being repeated: copies of an article, and passages that several
+articles share, are main text of each.
 
 The suffix array is built over blocks of pages of bounded size, in the order in which the pages lie, whatever their host.
 It reports each run of RUN tokens once for its block, with the least and the greatest page it is on; an aggregation by host
@@ -35,10 +36,10 @@ RUN = 8
 #: Tokens of a block of pages.
 BLOCK_TOKENS = 400_000
 
-OPEN, CONTENT, BOILERPLATE = 0, 1, 2
+OPEN, CONTENT, BOILERPLATE, SUSPECT = range(4)
 
 # Element names of HTML and usual names of boilerplate.
-_RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "textarea", "xmp"}
+_RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "textarea", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
@@ -54,7 +55,9 @@ _NAMES = {
     "form", "search", "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "related", "recommended", "share", "sharing", "social", "pagination", "pager", "widget",
     "toolbar", "masthead", "skip",
 }
-_PAGE_NAMES = {"header", "topbar", "site-header"}
+_PAGE_NAMES = {"header", "topbar"}
+# Of these, names that as a part of a longer name may well mean something else (related-work, ad-hoc, form-factor).
+_VAGUE = {"ad", "ads", "aside", "banner", "comment", "form", "header", "login", "menu", "nav", "notice", "overlay", "promo", "related", "reply", "respond", "search", "share", "sharing", "skip", "social", "subscribe"}
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)(?:>|\Z)|<[!?][^>]*>?|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes2>[^>]*)>?",
@@ -69,23 +72,30 @@ def host(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is boilerplate. A header inside an article holds the article's title."""
+def _boilerplate(name: str, attributes: str, inside: bool) -> int:
+    """2 for boilerplate, 1 for a suspect, whose repetition decides, 0 for neither. A header inside an article holds the
+    article's title. Of class and id, whole names say boilerplate; parts of names do so outside of articles where they are
+    not vague, and else make a suspect."""
     if name in _NEVER or (name == "header" and not inside):
-        return True
+        return 2
     if not attributes or not attributes.strip(" /"):
-        return False
+        return 0
+    suspect = 0
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+            return 2
         if key == "role" and value.strip() in _ROLES:
-            return True
+            return 2
         if key in ("class", "id"):
-            names = set(value.split()) | set(re.split(r"[^a-z0-9]+", value))
-            if names & _NAMES or (not inside and names & _PAGE_NAMES):
-                return True
-    return False
+            listed = _NAMES if inside else _NAMES | _PAGE_NAMES
+            if set(value.split()) & listed:
+                return 2
+            if parts := set(re.split(r"[^a-z0-9]+", value)) & listed:
+                if not inside and parts - _VAGUE:
+                    return 2
+                suspect = 1
+    return suspect
 
 
 def _is_main(name: str, attributes: str) -> bool:
@@ -94,27 +104,29 @@ def _is_main(name: str, attributes: str) -> bool:
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
     """(text, label) of each block with text, in page order. If the page has an article, or else a main element, text
-    outside of it is boilerplate; if it has neither, unmarked text is open."""
+    outside of it is boilerplate; if it has neither, unmarked text is open. Where a part of a name
+    speaks against a block, it is a suspect."""
     page = page or ""
-    found: list[tuple[str, int]] = []
+    found: list[tuple[str, int, bool]] = []
     words: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # name, boilerplate, level of main element (2 article, 1 main)
-    dropped, levels, best = 0, [], 0
+    stack: list[tuple[str, int, int]] = []  # name, boilerplate, level of main element (2 article, 1 main)
+    dropped, suspected, levels, best = 0, 0, [], 0
     counts: dict[str, int] = {}
 
     def flush() -> None:
         if words:
             text = " ".join(html.unescape("".join(words)).split())
             if text:
-                found.append((text, -1 if dropped else max(levels, default=0)))
+                found.append((text, -1 if dropped else max(levels, default=0), suspected > 0))
             words.clear()
 
     def close(until: int) -> None:
-        nonlocal dropped
+        nonlocal dropped, suspected
         while len(stack) > until:
             name, bad, level = stack.pop()
             counts[name] -= 1
-            dropped -= bad
+            dropped -= bad == 2
+            suspected -= bad == 1
             if level:
                 levels.pop()
 
@@ -162,10 +174,11 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 if stack[i][0] in _BLOCK:
                     break
         level = (2 if name == "article" or "articlebody" in attributes.lower() else 1) if _is_main(name, attributes) else 0
-        bad = _boilerplate(name, attributes, bool(levels)) and not level
+        bad = 0 if level else _boilerplate(name, attributes, bool(levels))
         if bad:
             flush()
-            dropped += 1
+            dropped += bad == 2
+            suspected += bad == 1
         if level:
             flush()
             levels.append(level)
@@ -173,7 +186,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         stack.append((name, bad, level))
         counts[name] = counts.get(name, 0) + 1
     flush()
-    return [(text, BOILERPLATE if level < 0 or level < best else CONTENT if best else OPEN) for text, level in found]
+    return [(text, BOILERPLATE if level < 0 or level < best else SUSPECT if suspect else CONTENT if best else OPEN) for text, level, suspect in found]
 
 
 def suffix_runs(streams: list[list[str]], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,11 +222,11 @@ def _page_key(own_host: str, page: str) -> int:
 
 
 #: Rows of the table that pages are read into: pages (kind 0), runs of blocks of pages (1), places of open pages (2).
-_READ = "kind int, page_id string, url string, text string, html string, page long, at long, r1 long, r2 long, least long, most long"
+_READ = "kind int, page_id string, url string, text string, html string, page long, at long, size long, r1 long, r2 long, least long, most long"
 
 
 def _frame(kind: int, rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=names)
+    frame = pd.DataFrame(rows, columns=names, dtype=object)  # not as floats where some are missing
     out = pd.DataFrame({"kind": np.full(len(rows), kind, dtype=np.int32)})
     for field in _READ.split(", ")[1:]:
         name, of = field.split()
@@ -243,21 +256,36 @@ def _block_runs(pages: list[tuple[str, int, list[str]]], run: int) -> list[tuple
     return rows
 
 
+def _open_runs(own_host: str, found: list[tuple[str, int]], tokens: list[str], run: int) -> tuple[list[tuple], list[tuple]]:
+    """Of a page: (place, size, key) of the runs of ``run`` tokens and of suspects that are shorter; and the latter's keys."""
+    if all(label in (CONTENT, BOILERPLATE) for _, label in found):
+        return [], []
+    runs = [(at, run, *_run_key(own_host, tokens[at : at + run])) for at in range(len(tokens) - run + 1)]
+    short, at = [], 0
+    for text, label in found:
+        size = len(text.split()) if label != CONTENT else 0
+        if label == SUSPECT and size < run:
+            short.append((at, size, *_run_key(own_host, ["", *tokens[at : at + size]])))
+        at += size
+    return runs + short, [x[2:] for x in short]
+
+
 def _read(batches: Iterator[pd.DataFrame], run: int, block_tokens: int) -> Iterator[pd.DataFrame]:
     """Every page is parsed once: its text if markup decides it, or else its html and the runs at each of its places; and
     the runs of each block of pages."""
     pages: list[tuple[str, int, list[str]]] = []
     size = 0
     for batch in batches:
-        rows, places = [], []
+        rows, places, short = [], [], []
         for page_id, url, page in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
             found = blocks(page)
             tokens = [t for text, label in found if label != CONTENT for t in text.split()]
-            own = host(url)
-            key = _page_key(own, page or "")
-            if any(label == OPEN for _, label in found):
+            own, key = host(url), _page_key(host(url), page or "")
+            runs, suspects = _open_runs(own, found, tokens, run)
+            if any(label in (OPEN, SUSPECT) for _, label in found):
                 rows.append((page_id, url, None, page, key))
-                places += [(key, at, *_run_key(own, tokens[at : at + run])) for at in range(len(tokens) - run + 1)]
+                places += [(key, *x) for x in runs]
+                short += [(*x, key, key) for x in suspects]
             else:
                 rows.append((page_id, url, _text(found, None), None, None))
             if len(tokens) >= run:
@@ -268,7 +296,9 @@ def _read(batches: Iterator[pd.DataFrame], run: int, block_tokens: int) -> Itera
                 pages, size = [], 0
         yield _frame(0, rows, ["page_id", "url", "text", "html", "page"])
         if places:
-            yield _frame(2, places, ["page", "at", "r1", "r2"])
+            yield _frame(2, places, ["page", "at", "size", "r1", "r2"])
+        if short:
+            yield _frame(1, short, ["r1", "r2", "least", "most"])
     if pages:
         yield _frame(1, _block_runs(pages, run), ["r1", "r2", "least", "most"])
 
@@ -280,7 +310,7 @@ def _text(found: list[tuple[str, int]], covered: set[int] | None) -> str:
             kept.append(text)
             continue
         tokens = text.split()
-        if label == OPEN:
+        if label in (OPEN, SUSPECT):
             left = " ".join(t for i, t in enumerate(tokens, at) if covered is None or i not in covered)
             if left:
                 kept.append(left)
@@ -301,13 +331,13 @@ def main_text(pages: DataFrame, run: int = RUN, block_tokens: int = BLOCK_TOKENS
     read = stored(read, "pages")
     of = lambda kind: read.where(F.col("kind") == kind)
     shared = of(1).groupBy("r1", "r2").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("r1", "r2")
-    covered = of(2).select("page", "at", "r1", "r2").distinct().join(shared, ["r1", "r2"], "left_semi").groupBy("page").agg(F.collect_set("at").alias("starts"))
+    covered = of(2).select("page", "at", "size", "r1", "r2").distinct().join(shared, ["r1", "r2"], "left_semi").groupBy("page").agg(F.collect_set(F.struct("at", "size")).alias("starts"))
 
     @F.pandas_udf("string")
     def finish(pages: pd.Series, starts: pd.Series) -> pd.Series:
         out = []
         for page, at in zip(pages, starts, strict=True):
-            gone = {int(i) + j for i in (at if at is not None else ()) for j in range(run)}
+            gone = {x["at"] + j for x in (at if at is not None else ()) for j in range(x["size"])}
             out.append(_text(blocks(page), gone))
         return pd.Series(out, dtype=object)
 
