@@ -20,8 +20,8 @@ DIM = 512
 #: Training rows for each language: about so many, drawn by a hash of doc_id, or all if there are fewer.
 TRAIN_ROWS = 1500
 FOLDS = 5
-#: Characters that are encoded at a time.
-_CHUNK = 2_000_000
+#: Characters that are read at a time, and different trigrams whose vectors are made at a time.
+_CHUNK, _GRAMS = 500_000, 16_384
 _SPACE = 32
 
 
@@ -35,24 +35,28 @@ def letter_vectors(letters: np.ndarray, dim: int = DIM) -> np.ndarray:
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Over a list of texts: text numbers and trigram numbers with their counts, and the trigrams as rows of code points."""
-    joined = "\0".join(texts)
+    """Over a list of texts: text numbers and trigram numbers with their counts, and the trigrams as rows of code points.
+
+    Every letter is the middle of one trigram; a neighbour that is no letter, or is missing, counts as a space.
+    """
+    return _trigrams("\0".join(texts), 0)
+
+
+def _trigrams(joined: str, edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Trigrams of texts joined by zeros; ``edge`` characters at either end are neighbours alone."""
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    text_of = np.cumsum(points == 0) if len(texts) > 1 else np.zeros(len(points), dtype=np.int64)
+    text_of = np.cumsum(points == 0)
     kinds, code = np.unique(points, return_inverse=True)
     is_letter = np.array([chr(k).isalpha() for k in kinds], dtype=bool)
     letters = np.concatenate([[_SPACE], kinds[is_letter]]).astype(np.int64)  # the space is number 0
-    code = np.where(is_letter, np.cumsum(is_letter), 0)[code]
-    blank = code == 0
-    keep = ~(blank & np.concatenate([[True], blank[:-1]])) if len(blank) else blank  # one space for each run of them
-    code, text_of, blank = code[keep], text_of[keep], blank[keep]
-    code = np.concatenate([[0], code, [0]]).astype(np.int64)
+    code = np.concatenate([[0], np.where(is_letter, np.cumsum(is_letter), 0)[code], [0]]).astype(np.int64)
     n = len(letters)
-    middle = ~blank
-    gram = (code[:-2] * n + code[1:-1]) * n + code[2:]
-    gram, text_of = gram[middle], text_of[middle]
+    middle = code[1:-1] > 0
+    if edge:
+        middle[:edge] = middle[len(middle) - edge :] = False
+    gram = ((code[:-2] * n + code[1:-1]) * n + code[2:])[middle]
     used, g = np.unique(gram, return_inverse=True)
-    pair, counts = np.unique(text_of.astype(np.int64) * max(1, len(used)) + g, return_counts=True)
+    pair, counts = np.unique(text_of[middle] * max(1, len(used)) + g, return_counts=True)
     doc, g = pair // max(1, len(used)), pair % max(1, len(used))
     points3 = np.stack([letters[used // (n * n)], letters[used // n % n], letters[used % n]], axis=1) if len(used) else np.zeros((0, 3), dtype=np.int64)
     return doc, g, counts, points3
@@ -66,38 +70,29 @@ def gram_vectors(points: np.ndarray, dim: int = DIM) -> np.ndarray:
     return np.roll(base, 2, axis=1)[code[:, 0]] * np.roll(base, 1, axis=1)[code[:, 1]] * base[code[:, 2]]
 
 
-def slices(text: str, size: int = _CHUNK) -> Iterator[str]:
-    """A long text in parts that meet at spaces, so that the parts' trigrams are the text's."""
-    at = 0
-    while len(text) - at > size:
-        cut = text.rfind(" ", at + 1, at + size)
-        cut = text.find(" ", at + size) if cut < 0 else cut
-        if cut < 0:
-            break
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
 def bundles(texts: list[str], dim: int = DIM) -> np.ndarray:
-    """A row for each text: the sum of its trigrams' vectors; zeros if it has no letter. Longer texts are read in parts."""
+    """A row for each text: the sum of its trigrams' vectors; zeros if it has no letter. Longer texts are read in parts,
+    each with its neighbours' edges, so that memory is bounded for any text."""
     if sum(map(len, texts)) <= _CHUNK:
-        return _bundles(texts, dim)
-    return np.array([np.sum([_bundles([part], dim)[0] for part in slices(t)], axis=0) for t in texts])
+        return _bundles("\0".join(texts), len(texts), 0, dim)
+    out = np.zeros((len(texts), dim), dtype=np.float64)
+    for i, text in enumerate(texts):
+        padded = f" {text} "
+        for at in range(0, len(text), _CHUNK):
+            out[i] += _bundles(padded[at : at + _CHUNK + 2], 1, 1, dim)[0]
+    return out
 
 
-def _bundles(texts: list[str], dim: int) -> np.ndarray:
-    out = np.zeros((len(texts), dim), dtype=np.float64)
-    doc, gram, counts, points = trigrams(texts)
-    if not len(doc):
-        return out
-    vectors = gram_vectors(points, dim).astype(np.float32)
-    starts = np.searchsorted(doc, np.arange(len(texts) + 1))
-    for i in range(len(texts)):
-        a, b = starts[i], starts[i + 1]
-        for at in range(a, b, 65536):
-            stop = min(b, at + 65536)
-            out[i] += counts[at:stop].astype(np.float32) @ vectors[gram[at:stop]]
+def _bundles(joined: str, texts: int, edge: int, dim: int) -> np.ndarray:
+    out = np.zeros((texts, dim), dtype=np.float64)
+    doc, gram, counts, points = _trigrams(joined, edge)
+    for low in range(0, len(points), _GRAMS):
+        vectors = gram_vectors(points[low : low + _GRAMS], dim).astype(np.float32)
+        here = (gram >= low) & (gram < low + _GRAMS) if len(points) > _GRAMS else slice(None)
+        own, g, n = doc[here], gram[here] - low, counts[here].astype(np.float32)
+        cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])) if len(own) else np.zeros(1, dtype=np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out[own[a]] += n[a:b] @ vectors[g[a:b]]
     return out
 
 
