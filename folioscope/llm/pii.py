@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import stored
+
 KINDS = ("email", "ip", "card", "phone")
 
 # Base patterns. Possessive forms and the conditions in front leave the matches as they are and keep them linear: a local
@@ -30,8 +32,17 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Candidates: anything around an @, and runs of digits with the usual separators.
-CANDIDATE = r"(?<![^\s@<>\"'])[^\s@<>\"']{1,128}+@[^\s@<>\"']{1,255}+|(?<![0-9])(?:\+|\()?[0-9](?:[ ().-]{0,3}[0-9]){6,}+"
+#: Candidates: anything around an @; written forms of addresses, phone numbers and cards, each on its own, as a base pattern
+#: may run over two that stand side by side and then fail; and other runs of digits with the usual separators.
+CANDIDATE = "|".join((
+    r"(?<![^\s@<>\"'])[^\s@<>\"']{1,128}+@[^\s@<>\"']{1,255}+",
+    r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])",
+    r"\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{4}(?![0-9])",
+    r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
+    r"(?<![0-9])[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])",
+    r"(?<![0-9])(?:\+|\()?[0-9](?:[ ().-]{0,3}[0-9]){6,}+",
+))
 
 # Gazetteers and context words.
 TOP_LEVEL = ("com", "net", "org", "edu", "gov", "mil", "int", "info", "io", "co", "biz", "eu", "uk", "de", "fr", "es", "it", "nl", "ch", "at", "be", "pt", "us", "ca", "mx", "br", "ar", "au", "jp", "cn", "in")
@@ -195,20 +206,25 @@ def reliabilities(rows: list[tuple], rounds: int = 200) -> tuple[np.ndarray, np.
     return prior, yes, p
 
 
+#: Features of the classifier: kinds, then a yes and a no of each labeler (an abstention is neither), lengths and parts.
+_N = 4 + 8 + 3
+
+
 def _features(row: tuple) -> list[float]:
-    kind, v0, v1, v2, v3, length, parted = row[:7]
-    return [*(float(kind == k) for k in range(4)), *(float(v) for v in (v0, v1, v2, v3)), float(length == 1), float(length == 2), float(parted)]
+    kind, *votes = row[:5]
+    length, parted = row[5:7]
+    return [*(float(kind == k) for k in range(4)), *(float(v == said) for v in votes for said in (1, 0)), float(length == 1), float(length == 2), float(parted)]
 
 
 def fit(rows: list[tuple], rounds: int = 40, ridge: float = 1.0) -> list[float]:
     """Weights of the logistic span classifier over kinds, votes and shape, fitted to EM's probabilities by Newton's method."""
-    x = np.array([_features(r) for r in rows], dtype=float).reshape(-1, 11)
+    x = np.array([_features(r) for r in rows], dtype=float).reshape(-1, _N)
     n, (_, _, p) = np.array([r[-1] for r in rows], dtype=float), reliabilities(rows)
-    w = np.zeros(11)
+    w = np.zeros(_N)
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (n * (p - q)) - ridge * w
-        step = np.linalg.solve((x * (n * q * (1 - q))[:, None]).T @ x + ridge * np.eye(11), slope)
+        step = np.linalg.solve((x * (n * q * (1 - q))[:, None]).T @ x + ridge * np.eye(_N), slope)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -225,8 +241,8 @@ def _accepted(text: Column, base: Column, weights: list[float], least: float) ->
 
     def score(c: Column) -> Column:
         own = reduce(lambda rest, k: F.when(c["kind"] == k, F.lit(weights[k])).otherwise(rest), range(4), F.lit(0.0))
-        votes = reduce(lambda a, b: a + b, (c[v] * F.lit(weights[4 + i]) for i, v in enumerate(_VOTES)))
-        shape = F.when(c["length"] == 1, weights[8]).when(c["length"] == 2, weights[9]).otherwise(0.0) + F.when(c["parted"], weights[10]).otherwise(0.0)
+        votes = reduce(lambda a, b: a + b, (F.when(c[v] == 1, weights[4 + 2 * i]).when(c[v] == 0, weights[5 + 2 * i]).otherwise(0.0) for i, v in enumerate(_VOTES)))
+        shape = F.when(c["length"] == 1, weights[12]).when(c["length"] == 2, weights[13]).otherwise(0.0) + F.when(c["parted"], weights[14]).otherwise(0.0)
         return own + votes + shape
 
     free = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
@@ -262,11 +278,23 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame) -> DataFrame:
+def redacted(docs: DataFrame, weights: list[float] | None = None, least: float = 0.9) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; overlapping spans are replaced together, by the first's
-    kind. n_chars, where there is one and the text has changed, becomes the new length. Columns stay as they are."""
+    kind. n_chars, where there is one and the text has changed, becomes the new length. Columns stay as they are.
+
+    Replacing a span can part digits that made a neighbour invalid, so that texts that have changed are read once more, by
+    the same classifier, from a stored table.
+    """
+    weights = train(docs) if weights is None else weights
+    once = stored(_replaced(docs, weights, least, "_pii_changed"), "redacted")
+    again = _replaced(once.where("_pii_changed").drop("_pii_changed"), weights, least, "_pii_changed")
+    return once.where("not _pii_changed").unionByName(again).select(*docs.columns)
+
+
+def _replaced(docs: DataFrame, weights: list[float], least: float, mark: str) -> DataFrame:
+    """docs with spans replaced, and a column that says whether there were any."""
     columns = docs.columns
-    found = find_spans(docs, names=("_pii_base", "_pii_all"))
+    found = find_spans(docs, weights, least=least, names=("_pii_base", "_pii_all"))
     tag = lambda x: F.element_at(F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), x["kind"] + 1)
     first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -280,4 +308,4 @@ def redacted(docs: DataFrame) -> DataFrame:
     out = found.withColumn("_pii_text", F.when(some, F.aggregate("_pii_all", first, step, last)).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(some, F.length("_pii_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_pii_text")).select(*columns)
+    return out.withColumn("text", F.col("_pii_text")).select(*columns, some.alias(mark))
