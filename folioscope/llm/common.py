@@ -14,23 +14,43 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where it names none (local tests)."""
+    """The folder the cluster names in spark.checkpoint.dir. Where it names none, one of our own, in a local session only:
+    executors elsewhere would not see it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioscope-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as a Parquet table in the shared folder and read it back.
 
-    Unlike a cached frame it outlives lost executors, and unlike an RDD checkpoint its size is known to the planner.
+    Unlike a cached frame it outlives lost executors, and unlike an RDD checkpoint its size is known to the planner. The
+    table is deleted when the session ends, or earlier by discard.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/folioscope-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    system, at = _file(spark, path)
+    system.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folioscope_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a stored frame that nothing reads any more; any other frame stays as it is."""
+    if path := getattr(df, "_folioscope_path", None):
+        system, at = _file(df.sparkSession, path)
+        system.delete(at, True)
 
 
 def text_or_empty(column: str = "text"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import stored
+from folioscope.llm.common import discard, stored
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     said = None
     while True:
-        edges = stored(_stars(edges) if said is not None else edges, "stars")
+        before, edges = edges, stored(_stars(edges) if said is not None else edges, "stars")
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == said or not now[0]:
             break

@@ -26,7 +26,7 @@ PIVOTS = 24
 PIVOT_SAMPLE = 2048
 RINGS = 64
 ANNULUS = 2048
-CHUNK = 1024
+CHUNK = 4096
 STRIP = 256
 #: Products of components up to this size add up exactly in double precision for all practical lengths.
 EXACT = float(1 << 20)
@@ -137,7 +137,7 @@ class Index:
                 batch["ring"] = np.minimum(RINGS, batch["dist"] // width).astype(np.int32)
                 yield batch[["vec_id", "v", "pivot", "dist", "ring"]]
 
-        keyed = rows.select("vec_id", "v").mapInPandas(key, "vec_id long, v array<double>, pivot int, dist double, ring int")
+        keyed = stored(rows.select("vec_id", "v").mapInPandas(key, "vec_id long, v array<double>, pivot int, dist double, ring int"), "keyed")
         # at most PIVOTS * (RINGS + 1) rows
         rings = sorted(tuple(r) for r in keyed.groupBy("pivot", "ring").agg(F.count(F.lit(1)), F.min("dist"), F.max("dist")).collect())
         self.annuli: list[tuple[int, int, float, float]] = []  # pivot, number of parts, least and greatest distance
@@ -181,19 +181,24 @@ class Index:
                         rows.append(i)
                         annulus.append(j)
                         part.append(p)
-        out = batch.iloc[np.asarray(rows, dtype=np.int64)].copy()
+        out = batch.iloc[np.asarray(rows, dtype=np.int64)][["query_row", "least"] if "least" in batch else ["query_row"]].copy()
         out["annulus"], out["part"] = np.asarray(annulus, dtype=np.int32), np.asarray(part, dtype=np.int32)
         return out
 
-    def search(self, queries: DataFrame, k: int, home: bool, chunks: int) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, home: bool, chunk: int) -> DataFrame:
+        """The visitors of a part of an annulus are dealt into chunks of about ``chunk`` queries, and the part's rows are
+        copied once for each; what no query visits is not shuffled."""
         pivots, most = self.pivots, self.most
-        held = [c for c in ("query_row", "query_id", "v", "least", "chunk") if c in queries.columns]
-        kinds = {"query_row": "long", "query_id": "long", "v": "array<double>", "least": "double", "chunk": "int"}
+        bound = ["least"] if "least" in queries.columns else []
         light = _Visits(self)
-        go = queries.select(*held).mapInPandas(lambda batches: (light.visits(b, home) for b in batches if len(b)), ", ".join(f"{c} {kinds[c]}" for c in held) + ", annulus int, part int")
-        every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
-        blocks = self.rows.select("vec_id", "v", "pivot", "dist", "annulus", "part", every)
-        return meet(go, blocks, ["annulus", "part", "chunk"], lambda a, b: search_annulus(a, b, pivots, most, k), _FOUND)
+        schema = ", ".join(["query_row long", *(f"{c} double" for c in bound), "annulus int", "part int"])
+        go = stored(queries.select("query_row", "v", *bound).mapInPandas(lambda batches: (light.visits(b, home) for b in batches if len(b)), schema), "visits")
+        chunks = go.groupBy("annulus", "part").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+        mine = F.pmod(F.xxhash64("query_row", F.lit("chunk")), F.col("chunks")).cast("int").alias("chunk")
+        left = go.join(chunks, ["annulus", "part"]).join(queries.select("query_row", "query_id", "v"), "query_row").select("query_row", "query_id", "v", *bound, "annulus", "part", mine)
+        every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+        right = self.rows.join(chunks, ["annulus", "part"]).select("vec_id", "v", "pivot", "dist", "annulus", "part", every)
+        return meet(left, right, ["annulus", "part", "chunk"], lambda a, b: search_annulus(a, b, pivots, most, k), _FOUND)
 
 
 class _Visits:
@@ -230,14 +235,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, annulus: int = ANN
     parts = []
     for (dim,) in sorted(tuple(r) for r in asked.select(F.size("v")).distinct().collect()):
         index = Index(rows, dim, annulus)
-        mine = asked.where(F.size("v") == dim)
-        chunks = max(1, -(-mine.count() // chunk))
-        named = mine.select(F.col("vec_id").alias("query_row"), F.col("vec_id").alias("query_id"), "v", F.pmod(F.xxhash64("vec_id", F.lit("chunk")), F.lit(chunks)).cast("int").alias("chunk"))
+        named = asked.where(F.size("v") == dim).select(F.col("vec_id").alias("query_row"), F.col("vec_id").alias("query_id"), "v")
         if not index.annuli:
             continue
-        near = stored(index.search(named, k, True, chunks), "home")
+        near = stored(index.search(named, k, True, chunk), "home")
         bound = near.groupBy("query_row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("least"))
-        far = index.search(named.join(bound, "query_row", "left"), k, False, chunks)
+        far = index.search(named.join(bound, "query_row", "left"), k, False, chunk)
         parts.append(first_k(near.unionByName(far), k, F.col("score").desc()))
     out = parts[0] if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     for part in parts[1:]:
