@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIKI = r"\[\[([^\]|#]+)(?:[#|][^\]]*)?\]\]"
@@ -12,8 +12,11 @@ REFERENCE = r"(?m)^\s{0,3}\[[^\]]+\]:\s*(\S+)"
 
 def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, kind, ord, target of wiki links, inline links (targets with one level of parentheses) and references."""
-    of = lambda kind, pattern: docs.select(F.col(doc_id).alias("doc_id"), F.lit(kind).alias("kind"), F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("ord", "target"))
-    return of("wiki", WIKI).unionByName(of("markdown", INLINE)).unionByName(of("reference", REFERENCE))
+    of = lambda kind, pattern: F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda target, i: F.struct(F.lit(kind).alias("kind"), i.alias("ord"), target.alias("target"))
+    )
+    found = F.concat(of("wiki", WIKI), of("markdown", INLINE), of("reference", REFERENCE))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(found).alias("l")).select("doc_id", "l.kind", "l.ord", "l.target")
 
 
 def resolve(links: DataFrame, files: DataFrame) -> DataFrame:
@@ -48,10 +51,14 @@ def reachable(edges: DataFrame, starts: DataFrame, stored) -> DataFrame:
 
 def cycles(edges: DataFrame, stored) -> DataFrame:
     """Nodes on cycles of a graph in which every node has at most one successor: edges(src, dst). Pointers are doubled until
-    they have run further than there are nodes; a node is on a cycle if a long run of pointers ends on it."""
-    jump = stored(edges.select("src", "dst").dropDuplicates(["src"]), "jump")
+    they have run further than there are nodes; a node is on a cycle if a long run of pointers ends on it. Repeated edges do
+    no harm; a node with two successors is refused. What has no predecessor goes first, as it is on no cycle."""
+    edges = stored(edges.select("src", "dst").distinct(), "jump")
+    if not edges.groupBy("src").count().where("count > 1").isEmpty():
+        raise ValueError("a node has several successors")
+    jump = stored(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "jump")
     n, length = jump.count(), 1
-    while length < n:
+    while length <= n:
         jump = stored(jump.alias("a").join(jump.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")), "jump")
         length *= 2
     # every node that is still pointed at after so many steps is on a cycle, and so is all that follows it
@@ -77,5 +84,4 @@ def collisions(moves: DataFrame, existing: DataFrame) -> DataFrame:
 
 def resolve_unique_name(names: DataFrame) -> DataFrame:
     """name and path of names that one file has."""
-    w = Window.partitionBy("name")
-    return names.withColumn("_n", F.count(F.lit(1)).over(w)).where("_n = 1").select("name", "path")
+    return names.groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("path")).where("_n = 1").select("name", "path")
