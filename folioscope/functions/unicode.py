@@ -57,12 +57,17 @@ def link_targets(text: Column) -> Column:
     return _mapped("link_targets", link_targets_of, "array<string>")(text)
 
 
-def unified_diff(before: Column, after: Column, most: int = 500) -> Column:
-    """The unified diff of two texts, up to so many lines."""
+#: Fixed value: lines of a diff that are shown.
+DIFF_LINES = 500
 
-    @F.pandas_udf("string")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(list(difflib.unified_diff((x or "").split("\n"), (y or "").split("\n"), "current", "desired", lineterm=""))[:most]) for x, y in zip(a, b, strict=True)], dtype=object)
+
+def unified_diff(before: Column, after: Column, most: int = DIFF_LINES) -> Column:
+    """(diff, n_lines): the unified diff of two texts, of which so many lines are shown, and how many it has in all."""
+
+    @F.pandas_udf("diff string, n_lines long")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        all_lines = [list(difflib.unified_diff((x or "").split("\n"), (y or "").split("\n"), "current", "desired", lineterm="")) for x, y in zip(a, b, strict=True)]
+        return pd.DataFrame({"diff": ["\n".join(x[:most]) for x in all_lines], "n_lines": [len(x) for x in all_lines]})
 
     return run(before, after)
 
