@@ -59,7 +59,8 @@ _DRIFT = (v.DOC_FILES_SQL, v.MANIFEST_SQL, v.CURRENT_SQL, v.CANDIDATE_SQL, _OUT,
 @query("SELECT * FROM classified", *_DRIFT)
 def drift_classify(spark, sf_dir):
     files = v.doc_files(spark, sf_dir).select("doc_id", "path", "kind")
-    outputs = files.join(v.docs_candidate(spark, sf_dir), "doc_id").select("path", "kind", F.sha2("text", 256).alias("desired_sha256"))
+    desired = v.docs_candidate(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("desired_sha256"))  # hashes, not texts, are joined
+    outputs = files.join(desired, "doc_id").select("path", "kind", "desired_sha256")
     return drift.classify_outputs(outputs, v.manifest_prev(spark, sf_dir), v.current_files(spark, sf_dir))
 
 
@@ -322,11 +323,11 @@ _CENTS = "CAST(round(p_retailprice * 100) AS BIGINT)"
 
 
 @query(
-    f"SELECT p_brand, min(c) AS low, max(c) AS high, count(*) AS n_positions FROM (SELECT *, sum(fresh) OVER (PARTITION BY p_brand ORDER BY c ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT p_brand, {_CENTS} AS c, CASE WHEN {_CENTS} - lag({_CENTS}) OVER (PARTITION BY p_brand ORDER BY {_CENTS}) <= 150 THEN 0 ELSE 1 END AS fresh FROM part)) GROUP BY p_brand, run"
+    f"SELECT p_brand, min(c) AS low, max(c) AS high, CAST(sum(c) AS DOUBLE) / count(*) AS centre, count(*) AS n_positions FROM (SELECT *, sum(fresh) OVER (PARTITION BY p_brand ORDER BY c ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT p_brand, {_CENTS} AS c, CASE WHEN {_CENTS} - lag({_CENTS}) OVER (PARTITION BY p_brand ORDER BY {_CENTS}) <= 150 THEN 0 ELSE 1 END AS fresh FROM part)) GROUP BY p_brand, run"
 )
 def cluster_positions(spark, sf_dir):
     part = v.table(spark, sf_dir, "part").select("p_brand", F.round(F.col("p_retailprice") * 100).cast("long").alias("c"))
-    return ranges.cluster_positions(part, "p_brand", "c", 150).drop("centre")
+    return ranges.cluster_positions(part, "p_brand", "c", 150)
 
 
 @query(
@@ -351,7 +352,7 @@ def nearest_marker(spark, sf_dir):
     return ranges.nearest_marker(anchors, markers)
 
 
-_GRID = "line_points AS (SELECT doc_id AS grid, line_no AS point, length(line) AS x, line_no AS y FROM lines WHERE length(line) < 400 AND line_no < 40)"
+_GRID = "line_points AS (SELECT doc_id AS grid, line_no AS point, length(line) AS x, line_no AS y FROM lines)"
 
 
 @query(
@@ -359,7 +360,7 @@ _GRID = "line_points AS (SELECT doc_id AS grid, line_no AS point, length(line) A
     v.lines_sql("documents"), _GRID,
 )
 def grid_place(spark, sf_dir):
-    points = ln.explode_lines(docs(spark, sf_dir)).select(F.col("doc_id").alias("grid"), F.col("line_no").alias("point"), F.length("line").alias("x"), F.col("line_no").alias("y")).where("x < 400 and y < 40")
+    points = ln.explode_lines(docs(spark, sf_dir)).select(F.col("doc_id").alias("grid"), F.col("line_no").alias("point"), F.length("line").alias("x"), F.col("line_no").alias("y"))
     grids = points.select("grid").distinct()
     rows = grids.select("grid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("row")).withColumn("y0", F.col("row") * 10).withColumn("y1", F.col("row") * 10 + 10)
     columns = grids.select("grid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("col")).withColumn("x0", F.col("col") * 100).withColumn("x1", F.col("col") * 100 + 100)
@@ -379,12 +380,12 @@ def outline_ranges(spark, sf_dir):
 
 
 @query(
-    "SELECT doc_id, string_agg(t, ';' ORDER BY y, priority, t) AS merged FROM (SELECT doc_id, line_no * 10 AS y, 1 AS priority, substr(line, 1, 8) AS t FROM lines UNION ALL SELECT doc_id, n_chars % 97 AS y, 0 AS priority, '[table]' AS t FROM documents) GROUP BY doc_id",
+    "SELECT doc_id, string_agg(t, ';' ORDER BY y, priority, t) AS merged FROM (SELECT doc_id, line_no * 10 AS y, 1 AS priority, line AS t FROM lines UNION ALL SELECT doc_id, n_chars % 97 AS y, 0 AS priority, '[table]' AS t FROM documents) GROUP BY doc_id",
     v.lines_sql("documents"),
 )
 def ordered_merge(spark, sf_dir):
     d = docs(spark, sf_dir)
-    text = ln.explode_lines(d).select("doc_id", (F.col("line_no") * 10).cast("long").alias("y"), F.lit(1).alias("priority"), F.left("line", F.lit(8)).alias("t"))
+    text = ln.explode_lines(d).select("doc_id", (F.col("line_no") * 10).cast("long").alias("y"), F.lit(1).alias("priority"), F.col("line").alias("t"))
     events = d.select("doc_id", (F.col("n_chars") % 97).alias("y"), F.lit(0).alias("priority"), F.lit("[table]").alias("t"))
     ordered = F.array_sort(F.collect_list(F.struct("y", "priority", "t")))
     return text.unionByName(events).groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), ";").alias("merged"))
@@ -502,13 +503,13 @@ _RULES = " UNION ".join(
         ("warning", "stale", f"status = 'active' AND type IN ('state', 'knowledge') AND {_T} - coalesce(ver, u) > 90"),
         ("error", "bad-verified-rev", "verified_rev IS NOT NULL AND (ver IS NULL OR verified_rev = 'xyz')"),
         ("error", "bad-log-kind", "type = 'log' AND kind = 'chat'"),
-        ("warning", "no-evidence", "status = 'active' AND type IN ('knowledge', 'decision') AND n_sources = 0"),
+        ("warning", "no-evidence", "status = 'active' AND type IN ('state', 'knowledge', 'decision') AND n_sources = 0"),
     ]
 )
 _MORE = (
-    " UNION SELECT 'error', 'several-active', path FROM (SELECT path, count(*) OVER (PARTITION BY type, topic) AS n FROM dated WHERE status = 'active') WHERE n > 1"
-    " UNION SELECT 'error', CASE WHEN o.path IS NULL THEN 'supersedes-missing' WHEN o.type <> p.type THEN 'supersedes-other-type' WHEN o.status <> 'superseded' THEN 'superseded-not-marked' END AS rule, p.path"
-    " FROM dated p LEFT JOIN dated o ON p.supersedes = o.path WHERE p.supersedes IS NOT NULL AND (o.path IS NULL OR o.type <> p.type OR o.status <> 'superseded')"
+    " UNION SELECT 'error', 'several-active', path FROM (SELECT path, count(*) OVER (PARTITION BY type, topic) AS n FROM dated WHERE status = 'active' AND type IN ('state', 'knowledge', 'decision')) WHERE n > 1"
+    " UNION SELECT 'error', CASE WHEN o.path IS NULL THEN 'supersedes-missing' WHEN o.type <> p.type THEN 'supersedes-other-type' WHEN o.status <> 'superseded' AND p.status = 'active' AND p.type <> 'log' THEN 'superseded-not-marked' END AS rule, p.path"
+    " FROM dated p LEFT JOIN dated o ON p.supersedes = o.path WHERE p.supersedes IS NOT NULL AND (o.path IS NULL OR o.type <> p.type OR (o.status <> 'superseded' AND p.status = 'active' AND p.type <> 'log'))"
 )
 
 
@@ -517,6 +518,30 @@ def integrity_findings(spark, sf_dir):
     return integrity.inspect(v.memory_pages(spark, sf_dir), F.lit(TODAY).cast("date"))
 
 
+_KB_LINKS = """kb_links AS (SELECT src, target, CASE WHEN target IN (SELECT path FROM memory_pages) THEN target WHEN target || '.md' IN (SELECT path FROM memory_pages) THEN target || '.md' END AS path FROM (
+  SELECT 'kb/' || CAST(doc_id AS VARCHAR) || '.md' AS src, unnest(['kb/' || CAST(doc_id * 2 AS VARCHAR) || '.md', CASE WHEN doc_id % 3 = 0 THEN 'kb/' || CAST(doc_id * 2 + 1 AS VARCHAR) ELSE 'kb/' || CAST(doc_id AS VARCHAR) || '.md' END]) AS target FROM documents))"""
+_REACHED = "reached AS (WITH RECURSIVE r(node) AS (SELECT 'kb/1.md' UNION SELECT l.path FROM r JOIN kb_links l ON l.src = r.node WHERE l.path IS NOT NULL) SELECT node FROM r)"
+_FULL = (
+    " UNION SELECT CASE WHEN past AND NOT ends_with(target, '.md') THEN 'warning' ELSE 'error' END, CASE WHEN past AND NOT ends_with(target, '.md') THEN 'historical-source-gone' ELSE 'missing-link' END, src FROM (SELECT l.*, p.type = 'log' OR p.status IN ('archived', 'superseded', 'deprecated') AS past FROM kb_links l JOIN memory_pages p ON p.path = l.src WHERE l.path IS NULL)"
+    " UNION SELECT 'error', 'duplicate-number', path FROM (SELECT path, count(*) OVER (PARTITION BY CAST(n AS BIGINT)) AS k FROM (SELECT path, regexp_extract(path, 'kb/0*([0-9]{1,2})', 1) AS n FROM memory_pages WHERE type = 'decision') WHERE n <> '') WHERE k > 1"
+    " UNION SELECT 'error', 'missing-from-log-map', path FROM memory_pages WHERE type = 'log' AND path NOT IN (SELECT path FROM kb_links WHERE src = 'kb/2.md' AND path IS NOT NULL)"
+    " UNION SELECT 'error', 'missing-from-category-map', path FROM memory_pages WHERE (type = 'decision' AND path NOT IN (SELECT path FROM kb_links WHERE src = 'kb/3.md' AND path IS NOT NULL)) OR (type = 'knowledge' AND path NOT IN (SELECT path FROM kb_links WHERE src = 'kb/4.md' AND path IS NOT NULL))"
+    " UNION SELECT 'warning', 'unreachable', path FROM memory_pages WHERE type IN ('state', 'decision', 'knowledge', 'log') AND path NOT IN (SELECT node FROM reached)"
+    " UNION SELECT 'error', 'navigation-no-active-map', path FROM memory_pages WHERE path IN ('kb/1.md', 'kb/2.md', 'kb/3.md', 'kb/4.md')"
+    " UNION SELECT 'error', CASE WHEN p.type = 'state' THEN 'required-state-not-current' ELSE 'required-state-missing' END, r.path FROM (SELECT unnest(['kb/5.md', 'kb/6.md', 'kb/25.md', 'kb/none.md']) AS path) r LEFT JOIN memory_pages p ON p.path = r.path WHERE p.type IS DISTINCT FROM 'state' OR p.status <> 'active'"
+)
+
+
+@query(_RULES + _MORE + _FULL, v.MEMORY_SQL, _DATED, _KB_LINKS, _REACHED)
+def integrity_report(spark, sf_dir):
+    pages, i = v.memory_pages(spark, sf_dir), F.col("doc_id")
+    path = lambda n: F.concat(F.lit("kb/"), n.cast("string"), F.lit(".md"))
+    targets = F.array(path(i * 2), F.when(i % 3 == 0, F.concat(F.lit("kb/"), (i * 2 + 1).cast("string"))).otherwise(path(i)))
+    found = links.resolve(docs(spark, sf_dir).select(path(i).alias("src"), F.explode(targets).alias("target")), pages.select("path"))
+    maps = {"decision": "kb/3.md", "knowledge": "kb/4.md"}
+    return integrity.full_report(pages, found, F.lit(TODAY).cast("date"), "kb/1.md", "kb/2.md", maps, ["kb/5.md", "kb/6.md", "kb/25.md", "kb/none.md"], r"kb/0*([0-9]{1,2})", stored)
+
+
 @query("SELECT type, topic, count(*) AS n_active FROM memory_pages WHERE status = 'active' GROUP BY type, topic HAVING count(*) > 1", v.MEMORY_SQL)
 def unique_active(spark, sf_dir):
     return integrity.duplicate_active(v.memory_pages(spark, sf_dir))
@@ -582,13 +607,21 @@ def frontmatter_split(spark, sf_dir):
 
 
 @query(
-    "SELECT 'commit' AS scope, CASE WHEN doc_id % 3 = 0 THEN 'modified' WHEN doc_id % 3 = 1 THEN 'renamed' ELSE 'deleted' END AS change, CASE WHEN doc_id % 3 = 1 THEN 'new/' ELSE 'old/' END || CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 3 = 1 THEN 'old/' || CAST(doc_id AS VARCHAR) END AS previous_path FROM documents"
+    """SELECT CASE WHEN k = 11 THEN 'untracked' ELSE 'commit' END AS scope, (['added', 'modified', 'deleted', 'renamed', 'copied', 'type_changed', 'unmerged', 'unknown', 'broken_pair', NULL, NULL, 'untracked'])[CAST(k + 1 AS INTEGER)] AS change,
+  CASE WHEN k IN (3, 4) THEN 'new/' ELSE 'old/' END || CAST(doc_id AS VARCHAR) AS path, CASE WHEN k IN (3, 4) THEN 'old/' || CAST(doc_id AS VARCHAR) END AS previous_path, CAST(NULL AS VARCHAR) AS error
+  FROM (SELECT doc_id, doc_id % 12 AS k FROM documents) WHERE k NOT IN (9, 10)
+  UNION ALL SELECT DISTINCT 'commit', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CASE WHEN doc_id % 12 = 10 THEN 'unterminated_git_path_list' WHEN doc_id % 24 = 9 THEN 'truncated_git_change_record' ELSE 'unsupported_git_change_record' END FROM documents WHERE doc_id % 12 IN (9, 10)"""
 )
 def change_records(spark, sf_dir):
-    i = F.col("doc_id").cast("string")
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 12
     old, new = F.concat(F.lit("old/"), i), F.concat(F.lit("new/"), i)
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat_ws("\0", F.lit("M"), old)).when(F.col("doc_id") % 3 == 1, F.concat_ws("\0", F.lit("R100"), old, new)).otherwise(F.concat_ws("\0", F.lit("D"), old))
-    return changes.changes(docs(spark, sf_dir).select(F.lit("commit").alias("scope"), raw.alias("raw")))
+    code = F.element_at(F.array(*map(F.lit, ("A", "M", "D", "R100", "C75", "T", "U", "X", "B"))), (F.least(k, F.lit(8)) + 1).cast("int"))
+    raw = (
+        F.when(k == 11, F.concat(old, F.lit("\0"))).when(k == 10, F.concat_ws("\0", F.lit("M"), old)).when(F.col("doc_id") % 24 == 9, F.concat_ws("\0", F.lit("R100"), old, F.lit("")))
+        .when(k == 9, F.concat_ws("\0", F.lit("Q7"), old, F.lit(""))).when(k.isin(3, 4), F.concat_ws("\0", code, old, new, F.lit(""))).otherwise(F.concat_ws("\0", code, old, F.lit("")))
+    )
+    rows = docs(spark, sf_dir).select(F.when(k == 11, "untracked").otherwise("commit").alias("scope"), raw.alias("raw"))
+    return changes.changes(rows).withColumn("error", F.lit(None).cast("string")).unionByName(changes.change_errors(rows), allowMissingColumns=True)
 
 
 # Layout: documents as pages, a line each in a block of its own
@@ -606,7 +639,7 @@ def page_dicts(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    "SELECT doc_id AS doc, line_no // 50 AS page, count(*) AS n_lines, CAST(sum(length(trim(line))) AS BIGINT) AS n_chars FROM lines WHERE line_no < 2000 AND trim(line) <> '' GROUP BY 1, 2",
+    "SELECT doc_id AS doc, line_no // 50 AS page, count(*) AS n_lines, CAST(sum(length(trim(line))) AS BIGINT) AS n_chars FROM lines WHERE trim(line) <> '' GROUP BY 1, 2",
     v.lines_sql("documents"),
 )
 def page_lines(spark, sf_dir):
@@ -617,7 +650,7 @@ def page_lines(spark, sf_dir):
     "SELECT doc_id AS doc, CAST(n // 50 AS INTEGER) AS page, CAST(n % 50 AS INTEGER) AS block_no, 50.0::DOUBLE AS x0, y AS y0, 50.0::DOUBLE + 5 * length(line) AS x1, y + size AS y1, size, "
     "CASE WHEN n % 7 = 3 AND length(t) >= 60 THEN 'code' WHEN size >= 12 AND length(t) <= 140 AND NOT regexp_matches(t, '[.!?:;,]$') THEN 'heading' WHEN regexp_matches(t, '^([-*+●•▪‣◦]|[0-9]+[.)])(\\s|$)') THEN 'list' ELSE 'text' END AS kind, "
     "CASE WHEN n % 7 = 3 AND length(t) >= 60 THEN NULL WHEN size >= 12 AND length(t) <= 140 AND NOT regexp_matches(t, '[.!?:;,]$') THEN CASE WHEN size < 17 THEN 2 ELSE 3 END END AS level, t AS text FROM "
-    "(SELECT doc_id, line, line_no AS n, trim(line) AS t, 70.0::DOUBLE + 14 * (line_no % 50) AS y, CASE WHEN line_no % 10 = 0 THEN 18.0::DOUBLE WHEN line_no % 10 = 5 THEN 14.0::DOUBLE ELSE 10.0::DOUBLE END AS size FROM lines WHERE line_no < 2000) WHERE t <> ''",
+    "(SELECT doc_id, line, line_no AS n, trim(line) AS t, 70.0::DOUBLE + 14 * (line_no % 50) AS y, CASE WHEN line_no % 10 = 0 THEN 18.0::DOUBLE WHEN line_no % 10 = 5 THEN 14.0::DOUBLE ELSE 10.0::DOUBLE END AS size FROM lines) WHERE t <> ''",
     v.lines_sql("documents"),
 )
 def page_entries(spark, sf_dir):
@@ -633,7 +666,7 @@ def page_text(spark, sf_dir):
 
 
 @query(
-    "SELECT doc_id AS doc, CAST(count(DISTINCT line_no // 50) AS BIGINT) AS n_pages, CAST(sum(length(trim(line))) AS BIGINT) AS n_chars FROM lines WHERE line_no < 2000 GROUP BY doc_id",
+    "SELECT doc_id AS doc, CAST(count(DISTINCT line_no // 50) AS BIGINT) AS n_pages, CAST(sum(length(trim(line))) AS BIGINT) AS n_chars FROM lines GROUP BY doc_id",
     v.lines_sql("documents"),
 )
 def page_probe(spark, sf_dir):
@@ -666,8 +699,8 @@ def nested_link_targets(spark, sf_dir):
 
 @query()
 def unified_diffs(spark, sf_dir):
-    both = docs(spark, sf_dir).select("doc_id", F.col("text").alias("before")).join(v.docs_candidate(spark, sf_dir), "doc_id").where(F.col("before") != F.col("text"))
-    return both.select("doc_id", u.unified_diff(F.col("before"), F.col("text")).alias("diff"))
+    changed = docs(spark, sf_dir).select("doc_id", "text", v.edited().alias("after")).where("text <> after")
+    return changed.select("doc_id", u.unified_diff(F.col("text"), F.col("after")).alias("d")).select("doc_id", "d.diff", "d.n_lines")
 
 
 @query(

@@ -45,7 +45,12 @@ CURRENT_SQL = "current_files AS (SELECT path, sha256(text) AS current_sha256 FRO
 
 def docs_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents after an edit: in every third one digits were rewritten."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.translate("text", "0123456789", "1234567890")).otherwise(F.col("text")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", edited().alias("text"))
+
+
+def edited():
+    """The edited text of a document."""
+    return F.when(F.col("doc_id") % 3 == 0, F.translate("text", "0123456789", "1234567890")).otherwise(F.col("text"))
 
 
 CANDIDATE_SQL = "docs_candidate AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN translate(text, '0123456789', '1234567890') ELSE text END AS text FROM documents)"

@@ -139,6 +139,10 @@ def test_links(spark):
     assert {r.page: r.n_changes for r in links.impact(changed, sources).collect()} == {"p1": 1, "p2": 1}
     ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 6)], "src long, dst long")
     assert {r.node for r in links.cycles(ring, stored).collect()} == {1, 2, 3}
+    assert links.cycles(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long"), stored).isEmpty()
+    assert {r.node for r in links.cycles(spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "src long, dst long"), stored).collect()} == {1}
+    with pytest.raises(ValueError):
+        links.cycles(spark.createDataFrame([(1, 2), (1, 3)], "src long, dst long"), stored)
 
 
 def test_integrity(spark):
@@ -166,7 +170,10 @@ def test_frontmatter(spark):
 
 def test_changes(spark):
     raw = spark.createDataFrame([("commit", "M\0a\0R090\0b\0c\0D\0d\0"), ("commit", "M\0a\0")], "scope string, raw string")
-    assert [tuple(r) for r in changes.changes(raw).collect()] == [("commit", "modified", "a", None), ("commit", "renamed", "c", "b"), ("commit", "deleted", "d", None)]
+    assert sorted(tuple(r) for r in changes.changes(raw).orderBy("path").collect()) == sorted([("commit", "modified", "a", None), ("commit", "renamed", "c", "b"), ("commit", "deleted", "d", None)], key=lambda r: r[1])
+    bad = spark.createDataFrame([("s", x) for x in ("M\0a", "R100\0a\0", "Z\0a\0", "M1234\0a\0", "M\0a\0B\0b\0", "")] + [("untracked", "x\0M\0")], "scope string, raw string")
+    assert sorted(r.error for r in changes.change_errors(bad).collect()) == ["truncated_git_change_record", "unsupported_git_change_record", "unterminated_git_path_list"]
+    assert {tuple(r) for r in changes.changes(bad).collect()} == {("s", "modified", "a", None), ("s", "broken_pair", "b", None), ("untracked", "untracked", "x", None), ("untracked", "untracked", "M", None)}
     index = spark.createDataFrame([("100644 abc 0\tx y\x00100644 def 1\tz\x00",)], "raw string")
     assert {r.path: len(r.entries) for r in changes.index_entries(index).collect()} == {"x y": 1, "z": 1}
 
