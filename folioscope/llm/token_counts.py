@@ -1,10 +1,11 @@
 """Edit-aware token counts.
 
 A document is held as a segment tree: its leaves are runs of a few pre-tokens that are encoded independently of what
-stands around them (they meet at a single space between two other characters), every node has the code points and the
-tokens of its subtree. An edit descends to the leaves that it touches; these are rewritten, merged with a neighbour for as
-long as the place where they meet is no longer such a boundary, re-encoded, and the sums above them are updated. The rest
-of the document is not read again.
+stands around them (they meet at a single space between two other characters), every node has the code points, the tokens
+and the leaves of its subtree. An edit descends to the leaves that it touches; these are rewritten, merged with a neighbour
+for as long as the place where they meet is no longer such a boundary, re-encoded, and the sums above them are updated. A
+leaf that has grown beyond twice its size is split into a subtree, and a subtree out of balance is built anew from its
+leaves, without reading their texts. The rest of the document is not read again.
 """
 
 from __future__ import annotations
@@ -21,80 +22,137 @@ from folioscope.llm.bpe import Codec, codec, independent_pieces
 LEAF = 32
 
 
+class _Node:
+    """A leaf with a text, or a node with two children."""
+
+    __slots__ = ("chars", "leaves", "left", "right", "text", "tokens")
+
+    def __init__(self, text: str = "", tokens: int = 0):
+        self.left = self.right = None
+        self.text, self.chars, self.tokens, self.leaves = text, len(text), tokens, 1
+
+    def sum_up(self) -> None:
+        a, b = self.left, self.right
+        self.chars, self.tokens, self.leaves = a.chars + b.chars, a.tokens + b.tokens, a.leaves + b.leaves
+
+    @property
+    def lopsided(self) -> bool:
+        return self.left is not None and max(self.left.leaves, self.right.leaves) > 3 * min(self.left.leaves, self.right.leaves) + 4
+
+
+def _balanced(leaves: list[_Node]) -> _Node:
+    while len(leaves) > 1:
+        above = []
+        for i in range(0, len(leaves) - 1, 2):
+            node = _Node()
+            node.left, node.right = leaves[i], leaves[i + 1]
+            node.sum_up()
+            above.append(node)
+        leaves = above + leaves[len(above) * 2 :]
+    return leaves[0]
+
+
 class TokenTree:
     """The tokens of one document under edits."""
 
     def __init__(self, text: str, own: Codec, leaf: int = LEAF):
-        self.own = own
-        pieces = independent_pieces(text)
-        groups = [pieces[i : i + leaf] for i in range(0, len(pieces), leaf)] or [[]]
-        self.size = 1
-        while self.size < len(groups):
-            self.size *= 2
-        self.texts = ["".join(g) for g in groups] + [""] * (self.size - len(groups))
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, g in enumerate(groups):
-            self.chars[self.size + i], self.tokens[self.size + i] = len(self.texts[i]), own.count_pieces(g)
-        for i in range(self.size - 1, 0, -1):
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+        self.own, self.leaf = own, leaf
+        self.root = _balanced(self._leaves(independent_pieces(text)))
         self.reencoded = 0
 
     @property
     def count(self) -> int:
-        return self.tokens[1]
+        return self.root.tokens
 
     @property
     def length(self) -> int:
-        return self.chars[1]
+        return self.root.chars
+
+    @property
+    def leaves(self) -> int:
+        return self.root.leaves
 
     def text(self) -> str:
-        return "".join(self.texts)
-
-    def _leaf_at(self, place: int) -> tuple[int, int]:
-        """The leaf that holds the code point at place, or the last one, and the place of its start."""
-        node, start = 1, 0
-        while node < self.size:
-            node *= 2
-            if place >= start + self.chars[node] and self.chars[node + 1]:
-                start += self.chars[node]
-                node += 1
-        return node - self.size, start
-
-    def _set(self, leaf: int, text: str, tokens: int) -> None:
-        self.texts[leaf] = text
-        node = leaf + self.size
-        self.chars[node], self.tokens[node] = len(text), tokens
-        while node := node // 2:
-            self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-            self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
-
-    def _next(self, leaf: int, step: int) -> int | None:
-        """The next leaf in a direction that is not empty."""
-        leaf += step
-        while 0 <= leaf < self.size:
-            if self.texts[leaf]:
-                return leaf
-            leaf += step
-        return None
+        return "".join(x.text for x in self._under(self.root))
+
+    def depth(self) -> int:
+        below, level = [self.root], 0
+        while below := [x for n in below if n.left is not None for x in (n.left, n.right)]:
+            level += 1
+        return level
+
+    def _leaves(self, pieces: list[str]) -> list[_Node]:
+        groups = [pieces[i : i + self.leaf] for i in range(0, len(pieces), self.leaf)] or [[]]
+        return [_Node("".join(g), self.own.count_pieces(g)) for g in groups]
+
+    def _under(self, node: _Node) -> list[_Node]:
+        """The leaves below a node, in order."""
+        out, left = [], [node]
+        while left:
+            node = left.pop()
+            if node.left is None:
+                out.append(node)
+            else:
+                left += (node.right, node.left)
+        return out
+
+    def _at(self, place: int) -> list[_Node]:
+        """The path from the root to the leaf that holds the code point at place, or to the last one."""
+        path = [self.root]
+        while (node := path[-1]).left is not None:
+            if place >= node.left.chars:
+                place -= node.left.chars
+                path.append(node.right)
+            else:
+                path.append(node.left)
+        return path
+
+    def _put(self, path: list[_Node], new: _Node) -> None:
+        """new in place of the last node of the path; sums are updated and the highest node out of balance is built anew."""
+        if len(path) == 1:
+            self.root = new
+            return
+        if path[-2].left is path[-1]:
+            path[-2].left = new
+        else:
+            path[-2].right = new
+        for node in reversed(path[:-1]):
+            node.sum_up()
+        for i, node in enumerate(path[:-1]):
+            if node.lopsided:
+                self._put(path[: i + 1], _balanced(self._under(node)))
+                return
+
+    def _drop(self, path: list[_Node]) -> str:
+        """Take a leaf that is not the only one out of the tree; its text."""
+        above = path[-2]
+        self._put(path[:-1], above.right if above.left is path[-1] else above.left)
+        return path[-1].text
 
     def edit(self, start: int, stop: int, new: str) -> None:
         """Put new in place of the code points from start to stop; both are clipped to the text."""
         start = min(max(start, 0), self.length)
         stop = min(max(stop, start), self.length)
-        first, at = self._leaf_at(start)
-        last, _ = self._leaf_at(max(start, stop - 1))
-        touched = "".join(self.texts[first : last + 1])
-        touched = touched[: start - at] + new + touched[stop - at :]
-        while (before := self._next(first, -1)) is not None and not _meets(self.texts[before], touched):
-            touched, first = self.texts[before] + touched, before
-        while (after := self._next(last, 1)) is not None and not _meets(touched, self.texts[after]):
-            touched, last = touched + self.texts[after], after
-        for leaf in range(first + 1, last + 1):
-            if self.texts[leaf]:
-                self._set(leaf, "", 0)
-        self._set(first, touched, self.own.count_pieces(independent_pieces(touched)))
+        path = self._at(start)
+        first = sum(n.left.chars for n, below in zip(path, path[1:], strict=False) if below is n.right)
+        touched = path[-1].text
+        after = first + len(touched)  # where the next leaf is, once those taken are out of the tree
+        while first + len(touched) < stop:
+            touched += self._drop(self._at(after))
+        touched = touched[: start - first] + new + touched[stop - first :]
+        while first and not _meets((path := self._at(first - 1))[-1].text, touched):
+            text = self._drop(path)
+            touched, first, after = text + touched, first - len(text), after - len(text)
+        while after < self.length and not _meets(touched, (path := self._at(after))[-1].text):
+            touched += self._drop(path)
         self.reencoded += len(touched)
+        path, pieces = self._at(first), independent_pieces(touched)
+        if not pieces and len(path) > 1:
+            self._drop(path)
+        elif len(pieces) > 2 * self.leaf:
+            self._put(path, _balanced(self._leaves(pieces)))
+        else:
+            self._put(path, _Node(touched, self.own.count_pieces(pieces)))
 
 
 def _meets(left: str, right: str) -> bool:
