@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.vectors import collapse, finite, first_k, meet, rows_of
 
 BLOCK = 4096
-CHUNK = 1024
+CHUNK = 4096
 _SCHEMA = "query_row long, query_id long, vec_id long, score double"
 
 
