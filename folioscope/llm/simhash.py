@@ -31,8 +31,6 @@ RUN_ROWS = 8192
 _BLOCK = 1 << 17
 #: Jaccard similarity of the sets of shingles from which on two texts are near copies.
 SIMILARITY = 0.8
-#: Runs of one key of up to so many texts are spanned by their closest pairs.
-TREE_ROWS = 8192
 #: Bits of a set's parity word, and buckets of the counts by which shingles are ordered.
 PARITY_BITS, BUCKETS = 256, 1 << 20
 #: Runs of one shingle of up to so many texts are compared in full at once; those of more first by nearest pairs.
@@ -112,30 +110,8 @@ def _forest(run: np.ndarray, most: int) -> list[tuple[int, int]]:
             left = left[~hit]
 
 
-def _closest(run: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links of a minimum spanning forest of a run by distance (Prim's algorithm): what hangs together over close pairs is
-    linked by close pairs. Runs of over TREE_ROWS get any spanning forest."""
-    n = len(run)
-    if n > TREE_ROWS:
-        return _forest(run, most)
-    links, out = [], np.ones(n, dtype=bool)
-    best, via = np.full(n, 1 << 30), np.zeros(n, dtype=np.int64)
-    at = 0
-    for _ in range(n - 1):
-        out[at] = False
-        gap = _distance(run, run[at])
-        nearer = out & (gap < best)
-        best[nearer], via[nearer] = gap[nearer], at
-        at = int(np.where(out, best, 1 << 31).argmin())
-        if best[at] <= most:
-            links.append((int(via[at]), at))
-    return links
-
-
-def _linked(most: int, payload: int, run_rows: int, closest: bool = False):
+def _linked(most: int, payload: int, run_rows: int):
     """Over rows sorted by key: links of each run as (x..., y...), and rows of overlong runs with y null."""
-    links_of = _closest if closest else _forest
-
     def emit(x: np.ndarray, y: np.ndarray | None) -> pd.DataFrame:
         out = pd.DataFrame({f"x{i}": x[:, i] for i in range(payload)})
         for i in range(payload):
@@ -144,7 +120,7 @@ def _linked(most: int, payload: int, run_rows: int, closest: bool = False):
 
     def close(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         run = np.unique(run, axis=0)
-        pairs = np.array(links_of(run, most), dtype=np.int64).reshape(-1, 2)
+        pairs = np.array(_forest(run, most), dtype=np.int64).reshape(-1, 2)
         return run[pairs[:, 0]], run[pairs[:, 1]]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,14 +176,14 @@ def _linked(most: int, payload: int, run_rows: int, closest: bool = False):
     return scan
 
 
-def candidate_links(nodes: DataFrame, segments: list[Column], width: int, payload: list[Column], most: int, run_rows: int = RUN_ROWS, closest: bool = False) -> DataFrame:
+def candidate_links(nodes: DataFrame, segments: list[Column], width: int, payload: list[Column], most: int, run_rows: int = RUN_ROWS) -> DataFrame:
     """Links between nodes whose payload (64-bit words) differs in at most most bits, found by shared variants of segments
     (longs of width bits). Columns x0.., y0..; rows with null y are members of overlong runs."""
     p = len(payload)
     keyed = nodes.select(*(c.alias(f"p{i}") for i, c in enumerate(payload)), F.explode(_keys(segments, width)).alias("key"))
     dealt = keyed.repartition("key").sortWithinPartitions("key")
     schema = ", ".join([f"x{i} long" for i in range(p)] + [f"y{i} long" for i in range(p)])
-    return dealt.mapInPandas(_linked(most, p, run_rows, closest), schema)
+    return dealt.mapInPandas(_linked(most, p, run_rows), schema)
 
 
 def _pair_links(fps: DataFrame, most: int, bits: int = 64) -> DataFrame:
@@ -415,7 +391,7 @@ def _tiles(rows: DataFrame, run_rows: int) -> DataFrame:
     each."""
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
     n = F.greatest(F.lit(2), F.ceil(F.col("k") * 2 / run_rows)).cast("long")
-    tiled = rows.join(F.broadcast(counts), "key").withColumn("tiles", n).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    tiled = rows.join(counts, "key").withColumn("tiles", n).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
     # an end meets each other tile in a key; its own tile comes with every one of them
     dealt = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).where("other <> tile")
     return dealt.withColumn("key", F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))).select("key", *_ROW)
