@@ -65,6 +65,7 @@ QUERIES = {
     f.__name__: f
     for f in (op1_html_text, op2_sharding, op3_language_id, op4_pivot_topk, op5_best_fit_packing, op6_pii, op7_simhash, op8_byte_bpe, op9_token_counts, op10_block_neighbours)
 }
+# op10's squares are added up as numpy does for up to 128 components, a multiple of eight: in eight lanes, then the lanes by pairs.
 ORACLE: dict[str, str] = {
     "op4_pivot_topk": """
 WITH v AS (
@@ -79,4 +80,21 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op10_block_neighbours": """
+WITH v AS (
+  SELECT vec_id, len(embedding) AS dim, CAST(embedding AS DOUBLE[]) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])) AS d
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.dim = c.dim
+  WHERE q.vec_id % 100 = 0
+), l AS (
+  SELECT query_id, vec_id, list_transform(range(1, 9), lambda n: list_reduce(list_slice(d, n, len(d), 8), lambda a, x: a + x)) AS e FROM s
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank
+  FROM (SELECT query_id, vec_id, sqrt(((e[1] + e[2]) + (e[3] + e[4])) + ((e[5] + e[6]) + (e[7] + e[8]))) AS score FROM l)
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
 }

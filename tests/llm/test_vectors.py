@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 
@@ -82,3 +83,12 @@ def test_queries_against_brute_force(spark):
     ids = [i for i, _ in rows]
     assert result(queries.op4_pivot_topk(spark, SF)) == plain_top(rows, [i for i in ids if i % 50 == 0], 5)
     assert result(queries.op10_block_neighbours(spark, SF)) == plain_near(rows, [i for i in ids if i % 100 == 0], 10)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    want = con.execute(queries.ORACLE[name])
+    columns = [c[0] for c in want.description]
+    assert result(queries.QUERIES[name](spark, SF).select(*columns)) == sorted(want.fetchall())
