@@ -44,36 +44,57 @@ def _fence_blocks(body: Column) -> Column:
     return F.aggregate(fences, first, step, rest)
 
 
+def _anchored(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """docs with a column of this name: a struct with an array of (line_no, value) for each category of anchors of the text."""
+    part = lambda n: f"_{name}_{n}"
+    ls, front, body, blocks, found = (F.col(part(n)) for n in ("ls", "front", "body", "blocks", "found"))
+    rule = F.array_position(F.transform(F.slice(ls, 2, F.size(ls)), F.trim), "---")
+    rows = docs.withColumn(part("ls"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
+    rows = rows.withColumn(part("front"), F.when((F.trim(ls[0]) == "---") & (rule > 0), rule.cast("int") + 1).otherwise(0))
+    rows = rows.withColumn(part("body"), F.slice(ls, front + 1, F.size(ls))).withColumn(part("blocks"), _fence_blocks(body))
+    anchor = lambda n, value: F.struct(n.cast("int").alias("line_no"), value.alias("value"))
+    top = F.when(front > 0, F.array(anchor(F.lit(0), F.array_join(F.slice(ls, 1, front), "\n")))).otherwise(F.array().cast(_ANCHOR))
+    fenced = F.transform(blocks, lambda b: anchor(b["start"] + front, F.array_join(F.slice(body, b["start"] + 1, b["end"] - b["start"] + 1), "\n")))
+    inside = F.flatten(F.transform(blocks, lambda b: F.sequence(b["start"], b["end"])))
+    prose = F.array_except(F.transform(body, lambda _, i: i), inside)  # line numbers, so that each line is looked up once
+    rows = rows.withColumn(part("found"), F.flatten(F.transform(prose, lambda i: F.transform(F.regexp_extract_all(_body(body[i]), F.lit(BODY), F.lit(0)), lambda v: anchor(i + front, v)))))
+    kind = lambda x: F.when(x["value"].startswith("`"), "inline_code").when(x["value"].rlike(r"^[\[{]"), "markers").otherwise("numbers")
+    of_kind = [F.filter(found, _is(kind, c)).alias(c) for c in CATEGORIES[2:]]
+    return rows.select(*docs.columns, F.struct(top.alias("frontmatter"), fenced.alias("fenced_code"), *of_kind).alias(name))
+
+
 def anchors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, category, ord, line_no, value of every anchor of every text.
 
     Frontmatter and fenced code are one anchor each, compared as they stand; prose lines give code, markers and numbers. A map
     over the documents, without a shuffle."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("ls"))
-    rule = F.array_position(F.transform(F.slice("ls", 2, F.size("ls")), F.trim), "---")
-    rows = rows.withColumn("front", F.when((F.trim(F.col("ls")[0]) == "---") & (rule > 0), rule.cast("int") + 1).otherwise(0))
-    rows = rows.withColumn("body", F.slice("ls", F.col("front") + 1, F.size("ls"))).withColumn("blocks", _fence_blocks(F.col("body")))
-    anchor = lambda n, value: F.struct(n.cast("int").alias("line_no"), value.alias("value"))
-    front = F.when(F.col("front") > 0, F.array(anchor(F.lit(0), F.array_join(F.slice("ls", 1, F.col("front")), "\n")))).otherwise(F.array().cast(_ANCHOR))
-    fenced = F.transform("blocks", lambda b: anchor(b["start"] + F.col("front"), F.array_join(F.slice("body", b["start"] + 1, b["end"] - b["start"] + 1), "\n")))
-    numbered = F.transform("body", lambda x, i: F.struct(i.alias("i"), x.alias("line")))
-    prose = F.filter(numbered, lambda t: ~F.exists("blocks", lambda b: t["i"].between(b["start"], b["end"])))
-    found = F.flatten(F.transform(prose, lambda t: F.transform(F.regexp_extract_all(_body(t["line"]), F.lit(BODY), F.lit(0)), lambda v: anchor(t["i"] + F.col("front"), v))))
-    rows = rows.select("doc_id", front.alias("frontmatter"), fenced.alias("fenced_code"), found.alias("found"))
-    kind = lambda x: F.when(x["value"].startswith("`"), "inline_code").when(x["value"].rlike(r"^[\[{]"), "markers").otherwise("numbers")
-    parts = {"frontmatter": F.col("frontmatter"), "fenced_code": F.col("fenced_code")} | {c: _of_kind(c, kind) for c in CATEGORIES[2:]}
-    placed = [F.transform(v, _placed(c)) for c, v in parts.items()]
+    rows = _anchored(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "found")
+    placed = [F.transform(F.col("found")[c], _placed(c)) for c in CATEGORIES]
     return rows.select("doc_id", F.explode(F.concat(*placed)).alias("a")).select("doc_id", "a.category", "a.ord", "a.line_no", "a.value")
 
 
-def _of_kind(category: str, kind) -> Column:
-    return F.filter("found", lambda x: kind(x) == category)
+def _is(kind, category: str):
+    return lambda x: kind(x) == category
 
 
 def _placed(category: str):
     return lambda x, i: F.struct(F.lit(category).alias("category"), i.alias("ord"), x["line_no"].alias("line_no"), x["value"].alias("value"))
 
 
+def row_differences(docs: DataFrame, before: str, after: str, doc_id: str = "doc_id") -> DataFrame:
+    """first_differences of two texts that stand in one row: a map over the rows whose texts differ, without a shuffle."""
+    pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(before).alias("before"), F.col(after).alias("after"))
+    rows = _anchored(_anchored(pairs.where(~F.col("before").eqNullSafe(F.col("after"))), "before", "a"), "after", "b")
+
+    def first(category: str) -> Column:
+        values = lambda side: F.transform(F.col(side)[category], lambda x: x["value"]).alias(side)
+        both = F.transform(F.arrays_zip(values("a"), values("b")), lambda p, i: F.struct(F.lit(category).alias("category"), i.alias("ord"), p["a"].alias("source_value"), p["b"].alias("candidate_value")))
+        return F.get(F.filter(both, lambda x: ~x["source_value"].eqNullSafe(x["candidate_value"])), F.lit(0))
+
+    found = rows.select("doc_id", F.explode(F.array(*map(first, CATEGORIES))).alias("f")).where("f is not null")
+    return found.select("doc_id", "f.category", "f.ord", "f.source_value", "f.candidate_value")
+
+
 def first_differences(source: DataFrame, candidate: DataFrame) -> DataFrame:
     """For each document and category the first place at which two anchor sequences differ, an absent anchor being null."""
     side = lambda df, name: df.select("doc_id", "category", "ord", F.col("value").alias(name))

@@ -417,7 +417,7 @@ def fidelity_first_diff(spark, sf_dir):
 
 @query()
 def fidelity_full(spark, sf_dir):
-    return an.first_differences(an.anchors(docs(spark, sf_dir)), an.anchors(v.docs_candidate(spark, sf_dir)))
+    return an.row_differences(docs(spark, sf_dir).select("doc_id", "text", v.edited().alias("after")), "text", "after")
 
 
 # Links

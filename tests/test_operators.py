@@ -127,6 +127,21 @@ def test_fidelity(spark):
     assert differences(spark, "```\nx = 1\n```\n", "```\nx = 2\n```\n") == [("fenced_code", "```\nx = 1\n```", "```\nx = 2\n```")]
 
 
+def test_fidelity_of_rows(spark):
+    texts = ["", "---\na: 1\n---\nx 3", "---\nall front\n---", "It is 5\n```\nx = 1\n```\n[1:02] `c` 7", "~~~\n1\n```\n2", "a 1 b 2 {x}", "a 1 b 2", None]
+    pairs = spark.createDataFrame([(i * 10 + j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)], "doc_id long, a string, b string")
+    joined = an.first_differences(an.anchors(pairs, text="a"), an.anchors(pairs, text="b"))
+    got = sorted(map(str, an.row_differences(pairs, "a", "b").collect()))
+    assert got == sorted(map(str, joined.collect())) and len(got) > 40
+
+
+def test_anchor_lines(spark):
+    text = "n 0\n" + "```\n1\n```\n2 `c`\n" * 300 + "```\nopen 9"
+    found = an.anchors(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [r.line_no for r in found if r.category == "numbers"] == [0, *range(4, 1204, 4)]
+    assert [r.line_no for r in found if r.category == "fenced_code"] == [*range(1, 1201, 4), 1201]
+
+
 def test_links(spark):
     docs = spark.createDataFrame([(1, "[[A|b]] [x](c (d).md) \n[r]: e.md")], "doc_id long, text string")
     assert sorted((r.kind, r.target) for r in links.extract(docs.select("doc_id", F.replace("text", F.lit("c (d)"), F.lit("c(d)")).alias("text"))).collect()) == [("markdown", "c(d).md"), ("reference", "e.md"), ("wiki", "A")]
