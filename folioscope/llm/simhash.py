@@ -9,6 +9,9 @@ RUN_ROWS is not verified in one task: its fingerprints are keyed by the pairs of
 mean a link, so that such runs split up and each key needs only its least member.
 
 Components are built over distinct fingerprints; copies of a text add no work.
+
+``without_near_copies`` checks each such link against the texts' sets of shingles, and adds the similar texts whose
+fingerprints lie further apart, found by rare shingles.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import stored
+from folioscope.llm.common import discard, stored
 from folioscope.llm.components import components
 
 #: Longer runs of one key are split up by pairs of bits.
@@ -196,6 +199,18 @@ def _pair_links(fps: DataFrame, most: int, bits: int = 64) -> DataFrame:
     return keyed.join(least, ["n", "rest"]).where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
+def fingerprint_links(fps: DataFrame, most: int = 2, run_rows: int = RUN_ROWS) -> DataFrame:
+    """Links (a, b) of at most ``most`` (two or three) differing bits among the distinct fingerprints fp of fps. They connect
+    all that any such links connect; not each link is among them."""
+    if not 2 <= most <= 3:
+        raise ValueError("two segments of 32 bits serve distances of two and three")
+    half = [F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))]
+    found = stored(candidate_links(fps, half, 32, [F.col("fp")], most, run_rows).distinct(), "links")
+    edges = found.where("y0 is not null").select(F.col("x0").alias("a"), F.col("y0").alias("b"))
+    overlong = found.where("y0 is null").select(F.col("x0").alias("fp")).distinct()
+    return edges if overlong.isEmpty() else edges.unionByName(_pair_links(overlong, most))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, most: int = 2, run_rows: int = RUN_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row for each row of docs.
 
@@ -203,27 +218,33 @@ def near_duplicates(docs: DataFrame, size: int = 3, most: int = 2, run_rows: int
     null or empty text has fingerprint zero, linked like any other. Rows with a null doc_id take part, but lend no id: a
     component of such rows alone has a null one. Repeated rows get a row each; an empty table gives an empty result.
     """
-    if not 2 <= most <= 3:
-        raise ValueError("two segments of 32 bits serve distances of two and three")
     fps = stored(fingerprints(docs, size), "fps")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    half = [F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))]
-    found = stored(candidate_links(nodes, half, 32, [F.col("fp")], most, run_rows).distinct(), "links")
-    edges = found.where("y0 is not null").select(F.col("x0").alias("a"), F.col("y0").alias("b"))
-    overlong = found.where("y0 is null").select(F.col("x0").alias("fp")).distinct()
-    if not overlong.isEmpty():
-        edges = edges.unionByName(_pair_links(overlong, most))
-    member = components(edges)
+    member = components(fingerprint_links(nodes, most, run_rows))
     rooted = nodes.join(member, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(ids, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def linked_texts(marked: DataFrame, most: int, run_rows: int) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes whose fingerprints link. marked: distinct pairs of node and fp; a node can have several.
+    One node stands for each fingerprint, and the others of that fingerprint are paired with it."""
+    hubs = marked.groupBy("fp").agg(F.min("node").alias("hub"))
+    apart = fingerprint_links(hubs.select("fp"), most, run_rows)
+    for end in ("a", "b"):
+        apart = apart.join(hubs.withColumnRenamed("fp", end), end).drop(end).withColumnRenamed("hub", f"{end}_")
+    both = apart.toDF("a", "b").unionByName(marked.join(hubs, "fp").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    return both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _distinct(blocks: bytes) -> np.ndarray:
+    return np.unique(np.frombuffer(blocks, dtype=">u8").astype(np.uint64)).view(np.int64)
+
+
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Distinct 64-bit hashes of the shingles."""
-    blocks = b"".join(shingle_hashes(words(text), size))
-    return np.unique(np.frombuffer(blocks, dtype=">u8").astype(np.uint64)).view(np.int64)
+    return _distinct(b"".join(shingle_hashes(words(text), size)))
 
 
 def _similar(texts: DataFrame, pairs: DataFrame, named: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -265,14 +286,15 @@ def shingle_counts(docs: DataFrame, size: int, blocks: int = 64) -> np.ndarray:
 
 
 def copy_signature(text: str | None, size: int, similarity: float, counts: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """(two words that name the set of shingles, its size, its parity words) and its rarest shingles: of two sets that reach
-    the similarity each has one among the other's, as a set that lacks all of them shares too few."""
-    own = shingle_set(text, size)
+    """(the fingerprint, two words that name the set of shingles, its size, its parity words) and its rarest shingles: of two
+    sets that reach the similarity each has one among the other's, as a set that lacks all of them shares too few."""
+    blocks = b"".join(shingle_hashes(words(text), size))
+    fp, own = int.from_bytes(majority(iter([blocks]), 64).tobytes(), "big", signed=True), _distinct(blocks)
     name = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype=np.int64)
     odd = np.packbits(np.bincount(own >> 24 & (PARITY_BITS - 1), minlength=PARITY_BITS).astype(np.uint8) & 1).view(np.int64)
     rare = own[np.lexsort((own, counts[own & (BUCKETS - 1)]))]
     most = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
-    return [*name.tolist(), len(own), *odd.tolist()], rare[: most if len(own) else 0]
+    return [fp, *name.tolist(), len(own), *odd.tolist()], rare[: most if len(own) else 0].copy()  # a view would hold all of them
 
 
 _ROW = ["node", "n", "pos", *(f"b{i}" for i in range(PARITY_BITS // 64)), "root"]
@@ -292,7 +314,7 @@ def _possible(x: np.ndarray, y: np.ndarray, similarity: float) -> tuple[np.ndarr
 
 def _run_pairs(run: np.ndarray, similarity: float, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Possible pairs of a run: all of them, or each row's nearest."""
-    step = max(1, (1 << 20) // len(run))
+    step = max(1, (1 << 18) // len(run))
     for at in range(0, len(run), step):
         part = run[at : at + step]
         able, gap = _possible(part[:, None], run[None, :], similarity)
@@ -397,17 +419,20 @@ def _tiles(rows: DataFrame, run_rows: int) -> DataFrame:
     return dealt.withColumn("key", F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))).select("key", *_ROW)
 
 
-def without_near_copies(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY, run_rows: int = RUN_ROWS) -> DataFrame:
+def without_near_copies(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY, run_rows: int = RUN_ROWS, most: int = 2) -> DataFrame:
     """docs without near copies: of each group linked by a similarity of their sets of shingles of ``size`` words, the row
     with the least doc_id stays (of rows with one doc_id, one of them; a null doc_id comes last). All columns are kept.
 
-    Texts without a word are copies of each other. Repeated rows are copies. An empty table stays empty. The groups are
-    those of comparing all pairs: any two texts that reach the similarity share one of their rarest shingles. Of long runs
-    of one shingle each text is first compared with its nearest one; then all pairs that are not linked yet.
+    Texts without a word are copies of each other. Repeated rows are copies. An empty table stays empty. Texts whose
+    fingerprints link at ``most`` differing bits, as in near_duplicates, are checked by their sets, as a repeated shingle can
+    decide all bits. Similar texts can have fingerprints further apart, and a link that fails can stand between two that are
+    similar; so texts that share one of their rarest shingles, as any two that reach the similarity do, are checked too, and
+    the groups are those of comparing all pairs. Of long runs of one shingle each text is first compared with its nearest
+    one; then all pairs that are not linked yet.
     """
     columns = docs.columns
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, size))
-    names = ["h0", "h1", "n", *_ROW[3:-1]]
+    names = ["fp", "h0", "h1", "n", *_ROW[3:-1]]
 
     @F.pandas_udf(f"struct<{', '.join(f'{c}: long' for c in names)}, rare: array<long>>")
     def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -421,16 +446,19 @@ def without_near_copies(docs: DataFrame, size: int = 5, similarity: float = SIMI
     signed = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), *key, signature("text").alias("s"))
     sets = stored(signed.select("id", "_k1", "_k2", "s.*"), "copies")
     best = F.min(F.struct("id", "_k1", "_k2")).alias("best")
-    same = sets.groupBy("h0", "h1").agg(best, *(F.first(c).alias(c) for c in [*names[2:], "rare"]))
+    same = sets.groupBy("h0", "h1").agg(best, *(F.first(c).alias(c) for c in [*names[3:], "rare"]))
     nodes = stored(same.withColumn("node", F.xxhash64("h0", "h1")), "nodes")
+    marked = stored(sets.select(F.xxhash64("h0", "h1").alias("node"), "fp").distinct(), "fps")
+    discard(sets)
     keyed = nodes.select("node", "n", *_ROW[3:-1], F.lit(0).cast("long").alias("root"), F.posexplode("rare").alias("pos", "key"))
     named, texts = nodes.select("node", "best._k1", "best._k2"), docs.select("text", *key)
 
+    linked = stored(linked_texts(marked, most, run_rows), "linked")
     found = stored(_possible_pairs(similarity, run_rows, True)(keyed), "near")
     overlong = found.where("kind = 2")
     if not overlong.isEmpty():
         found = found.unionByName(stored(_possible_pairs(similarity, None, True)(_tiles(overlong, run_rows)), "near"))
-    pairs = stored(found.where("kind = 0").select("a", "b").distinct(), "pairs")
+    pairs = stored(found.where("kind = 0").select("a", "b").unionByName(linked).distinct(), "pairs")
     edges = stored(_similar(texts, pairs, named, size, similarity), "links")
     rest = found.where("kind = 1")
     if not rest.isEmpty():

@@ -97,3 +97,45 @@ def test_overlong_run_of_variants(spark):
     base = prose(rnd, 200)
     texts = [" ".join(base)] + [scattered(rnd, base, 4) for _ in range(120)]
     assert kept(spark, texts, run_rows=20) == brute(texts) == [0]
+
+
+def test_dedup_goes_by_fingerprints(spark, monkeypatch):
+    """With candidates by fingerprint alone, the stage of the pipeline leaves one of each group of links that are similar."""
+    import corpus_pipeline as cp
+
+    rnd = random.Random(12)
+    texts = []
+    for _ in range(12):
+        base = prose(rnd, 400)
+        texts += [" ".join(base), " ".join(base) + " end", " ".join(prose(rnd, 300))]
+    texts += ["same " * 250 + " ".join(prose(rnd, 200)) for _ in range(4)]  # fingerprints link, sets are unlike
+    f = [simhash.fingerprint(t, 5) for t in texts]
+    near = [(i, j) for i in range(len(f)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 2]
+    alike = [i for i, j in near if brute([texts[j], texts[i]]) == [0]]
+    assert len(alike) >= 5 and len(near) > len(alike)
+    columns = ", ".join(f"{c} long" for c in ["a", "b", "kind", "key", *simhash._ROW])
+    monkeypatch.setattr(simhash, "_possible_pairs", lambda *_: lambda rows: spark.createDataFrame([], columns))
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, rows, "").collect()) == sorted(set(range(len(texts))) - set(alike))
+
+
+@pytest.mark.parametrize("run_rows", [8192, 2])
+def test_pairs_by_fingerprint(spark, run_rows):
+    """Pairs of nodes connect what links of two bits connect, for nodes with several fingerprints too."""
+    rnd = random.Random(13)
+    base = [rnd.getrandbits(64) for _ in range(20)]
+    fps = base + [x ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64) for x in base for _ in range(3)]
+    marked = sorted({(i % 70, x) for i, x in enumerate(fps)} | {(100 + i, x) for i, x in enumerate(base[:5])})
+    signed = [(n, x - (1 << 64) if x >> 63 else x) for n, x in marked]
+    got = simhash.linked_texts(spark.createDataFrame(signed, "node long, fp long"), 2, run_rows).collect()
+    want = {(min(n, m), max(n, m)) for n, x in marked for m, y in marked if n != m and (x ^ y).bit_count() <= 2}
+
+    def groups(pairs):
+        at = {n: n for n, _ in marked}
+        for _ in at:
+            for a, b in pairs:
+                at[a] = at[b] = min(at[a], at[b])
+        return at
+
+    assert groups(got) == groups(want) and len(set(groups(want).values())) < 25
+    assert all(a < b for a, b in got)
