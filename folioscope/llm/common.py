@@ -30,13 +30,21 @@ def _file(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:
+    """Tasks for so many rows: one for each core at least, else in proportion."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // per_task))
+
+
+def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """Cut lineage: write df as a Parquet table in the shared folder and read it back.
 
     Unlike a cached frame it outlives lost executors, and unlike an RDD checkpoint its size is known to the planner. The
-    table is deleted when the session ends, or earlier by discard.
+    table is deleted when the session ends, or earlier by discard. With tasks, at most so many write it, without a further
+    shuffle: for each file in a local folder Hadoop starts three processes from the executor (chmod), each of which is as
+    large as the executor for a moment.
     """
     spark = df.sparkSession
+    df = df if tasks is None else df.coalesce(tasks)
     path = f"{shared_folder(spark)}/folioscope-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     system, at = _file(spark, path)

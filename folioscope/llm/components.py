@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import discard, stored
+from folioscope.llm.common import discard, stored, tasks_for
+
+#: Links that a task writes of a round, where tasks are bounded.
+TASK_LINKS = 1 << 16
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -19,20 +22,23 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """node, root for every node of edges (a, b); root is the least node of the component.
 
     Every round is a few joins over what is left of the edges and is written to the shared folder, so a lost executor
     costs at most one round. Rounds grow with the logarithm of the longest chain. Loops and repeats do no harm; an empty
-    table gives an empty result.
+    table gives an empty result. tasks: as in stored; rounds after the first
+    take fewer if there are few links.
     """
     edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     said = None
     while True:
-        before, edges = edges, stored(_stars(edges) if said is not None else edges, "stars")
+        before, edges = edges, stored(_stars(edges) if said is not None else edges, "stars", tasks)
         discard(before)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == said or not now[0]:
             break
         said = now
+        if tasks is not None:
+            tasks = min(tasks, tasks_for(edges.sparkSession, now[0], TASK_LINKS))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

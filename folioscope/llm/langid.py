@@ -176,4 +176,6 @@ def identify(docs: DataFrame, text: str = "text", model: list[tuple[str, np.ndar
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    # a filter on a column of a deterministic one would be pushed below it, with a second run of it over all rows
+    said = said.asNondeterministic()
     return docs.withColumn("_said", said(F.col(text))).select(*kept, F.col("_said.lang_pred").alias("lang_pred"), F.col("_said.score").alias("score"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import discard, stored
+from folioscope.llm.common import discard, stored, tasks_for
 from folioscope.llm.components import components
 
 #: Longer runs of one key are split up by pairs of bits.
@@ -38,6 +38,8 @@ SIMILARITY = 0.8
 PARITY_BITS, BUCKETS = 256, 1 << 20
 #: Runs of one shingle of up to so many texts are compared in full at once; those of more first by nearest pairs.
 FEW_ROWS = 16
+#: Tables of without_near_copies are written by a task for so many documents, or by one for each core.
+TASK_DOCS = 1 << 14
 
 
 def words(text: str | None) -> list[bytes]:
@@ -199,13 +201,13 @@ def _pair_links(fps: DataFrame, most: int, bits: int = 64) -> DataFrame:
     return keyed.join(least, ["n", "rest"]).where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def fingerprint_links(fps: DataFrame, most: int = 2, run_rows: int = RUN_ROWS) -> DataFrame:
+def fingerprint_links(fps: DataFrame, most: int = 2, run_rows: int = RUN_ROWS, tasks: int | None = None) -> DataFrame:
     """Links (a, b) of at most ``most`` (two or three) differing bits among the distinct fingerprints fp of fps. They connect
-    all that any such links connect; not each link is among them."""
+    all that any such links connect; not each link is among them. tasks: as in stored."""
     if not 2 <= most <= 3:
         raise ValueError("two segments of 32 bits serve distances of two and three")
     half = [F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))]
-    found = stored(candidate_links(fps, half, 32, [F.col("fp")], most, run_rows).distinct(), "links")
+    found = stored(candidate_links(fps, half, 32, [F.col("fp")], most, run_rows).distinct(), "links", tasks)
     edges = found.where("y0 is not null").select(F.col("x0").alias("a"), F.col("y0").alias("b"))
     overlong = found.where("y0 is null").select(F.col("x0").alias("fp")).distinct()
     return edges if overlong.isEmpty() else edges.unionByName(_pair_links(overlong, most))
@@ -227,11 +229,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, most: int = 2, run_rows: int
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def linked_texts(marked: DataFrame, most: int, run_rows: int) -> DataFrame:
+def linked_texts(marked: DataFrame, most: int, run_rows: int, tasks: int | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of nodes whose fingerprints link. marked: distinct pairs of node and fp; a node can have several.
     One node stands for each fingerprint, and the others of that fingerprint are paired with it."""
     hubs = marked.groupBy("fp").agg(F.min("node").alias("hub"))
-    apart = fingerprint_links(hubs.select("fp"), most, run_rows)
+    apart = fingerprint_links(hubs.select("fp"), most, run_rows, tasks)
     for end in ("a", "b"):
         apart = apart.join(hubs.withColumnRenamed("fp", end), end).drop(end).withColumnRenamed("hub", f"{end}_")
     both = apart.toDF("a", "b").unionByName(marked.join(hubs, "fp").select(F.col("node").alias("a"), F.col("hub").alias("b")))
@@ -431,6 +433,8 @@ def without_near_copies(docs: DataFrame, size: int = 5, similarity: float = SIMI
     one; then all pairs that are not linked yet.
     """
     columns = docs.columns
+    tasks = tasks_for(docs.sparkSession, docs.count(), TASK_DOCS)
+    write = lambda df, name: stored(df, name, tasks)
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, size))
     names = ["fp", "h0", "h1", "n", *_ROW[3:-1]]
 
@@ -444,29 +448,29 @@ def without_near_copies(docs: DataFrame, size: int = 5, similarity: float = SIMI
 
     key = [F.xxhash64(F.lit(n), F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))).alias(f"_k{n}") for n in (1, 2)]
     signed = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), *key, signature("text").alias("s"))
-    sets = stored(signed.select("id", "_k1", "_k2", "s.*"), "copies")
+    sets = write(signed.select("id", "_k1", "_k2", "s.*"), "copies")
     best = F.min(F.struct("id", "_k1", "_k2")).alias("best")
     same = sets.groupBy("h0", "h1").agg(best, *(F.first(c).alias(c) for c in [*names[3:], "rare"]))
-    nodes = stored(same.withColumn("node", F.xxhash64("h0", "h1")), "nodes")
-    marked = stored(sets.select(F.xxhash64("h0", "h1").alias("node"), "fp").distinct(), "fps")
+    nodes = write(same.withColumn("node", F.xxhash64("h0", "h1")), "nodes")
+    marked = write(sets.select(F.xxhash64("h0", "h1").alias("node"), "fp").distinct(), "fps")
     discard(sets)
     keyed = nodes.select("node", "n", *_ROW[3:-1], F.lit(0).cast("long").alias("root"), F.posexplode("rare").alias("pos", "key"))
     named, texts = nodes.select("node", "best._k1", "best._k2"), docs.select("text", *key)
 
-    linked = stored(linked_texts(marked, most, run_rows), "linked")
-    found = stored(_possible_pairs(similarity, run_rows, True)(keyed), "near")
+    linked = write(linked_texts(marked, most, run_rows, tasks), "linked")
+    found = write(_possible_pairs(similarity, run_rows, True)(keyed), "near")
     overlong = found.where("kind = 2")
     if not overlong.isEmpty():
-        found = found.unionByName(stored(_possible_pairs(similarity, None, True)(_tiles(overlong, run_rows)), "near"))
-    pairs = stored(found.where("kind = 0").select("a", "b").unionByName(linked).distinct(), "pairs")
-    edges = stored(_similar(texts, pairs, named, size, similarity), "links")
+        found = found.unionByName(write(_possible_pairs(similarity, None, True)(_tiles(overlong, run_rows)), "near"))
+    pairs = write(found.where("kind = 0").select("a", "b").unionByName(linked).distinct(), "pairs")
+    edges = write(_similar(texts, pairs, named, size, similarity), "links")
     rest = found.where("kind = 1")
     if not rest.isEmpty():
-        roots = components(edges).withColumnRenamed("root", "r")
+        roots = components(edges, tasks).withColumnRenamed("root", "r")
         rooted = rest.drop("root").join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").withColumn("root", F.coalesce("r", "node"))
         more = _possible_pairs(similarity, None, False)(rooted).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        edges = edges.unionByName(stored(_similar(texts, stored(more, "pairs"), named, size, similarity), "links"))
-    member = components(edges).where("node <> root").withColumnRenamed("node", "member")
+        edges = edges.unionByName(write(_similar(texts, write(more, "pairs"), named, size, similarity), "links"))
+    member = components(edges, tasks).where("node <> root").withColumnRenamed("node", "member")
     rooted = nodes.select("node", "best").join(member, F.col("node") == F.col("member"), "left")
     kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best._k1", "best._k2")
-    return docs.select(*columns, *key).join(kept, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(*columns)
+    return docs.select(*columns, *key).join(kept, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(*columns).coalesce(tasks)

@@ -139,3 +139,33 @@ def test_pairs_by_fingerprint(spark, run_rows):
 
     assert groups(got) == groups(want) and len(set(groups(want).values())) < 25
     assert all(a < b for a, b in got)
+
+
+def test_files_go_by_documents(spark, monkeypatch):
+    """However many partitions a shuffle has, a small table's steps are written in few files, each of which costs processes."""
+    from folioscope.llm import components
+
+    rnd = random.Random(14)
+    texts = []
+    for _ in range(30):
+        base = prose(rnd, 120)
+        texts += [" ".join(base), scattered(rnd, base, 2), " ".join(prose(rnd, 120))]
+    files, plain = [], simhash.stored
+
+    def stored(*args):
+        out = plain(*args)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    monkeypatch.setattr(components, "stored", stored)
+    options = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        assert kept(spark, texts) == brute(texts)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 8 and max(files) <= spark.sparkContext.defaultParallelism

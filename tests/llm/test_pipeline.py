@@ -31,3 +31,10 @@ def test_without_labels(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
     blank = docs.limit(1).withColumn("text", F.lit("12 !!"))
     assert cp.language_id(spark, docs.unionByName(blank), SF).count() == docs.count()
+
+
+def test_language_is_told_once(spark):
+    """The filter on the predicted language runs the model no second time, which doubles the time and the Python workers."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = cp.language_id(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
