@@ -24,18 +24,30 @@ def workers():
     return found
 
 
-def test_worker_memory(spark):
+def grown(spark, run):
+    """MB by which the largest worker grew while run repaired 5000 documents in one task, over the largest one before."""
     repair.repair(spark.range(8, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))).collect()  # a worker with its imports
     before = workers()
     for p in before:
         with open(f"/proc/{p}/clear_refs", "w") as f:
             f.write("5")  # the greatest so far is forgotten
-    docs = spark.range(5000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit(TEXT).alias("text"))
-    total = repair.totals(repair.repair(docs)).first()
-    new, log = repair.repair_text(TEXT)
-    assert (total.n_files, total.n_changed, total.n_changes) == (5000, 5000, 5000 * len(log))
-    start = max(now for now, _ in before.values())
-    assert max(most for _, most in workers().values()) - start < 150
+    run(repair.repair(spark.range(5000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit(TEXT).alias("text"))))
+    return max(most for _, most in workers().values()) - max(now for now, _ in before.values())
+
+
+def test_worker_memory(spark):
+    got = []
+    assert grown(spark, lambda rows: got.append(repair.totals(rows).first())) < 150
+    _, log = repair.repair_text(TEXT)
+    assert [tuple(r) for r in got] == [(5000, 5000, 5000 * len(log))]
+
+
+def test_worker_memory_of_rows(spark, tmp_path):
+    """The same where all rows are written, as by repair_corpus."""
+    assert grown(spark, lambda rows: rows.drop("changes").write.parquet(str(tmp_path / "out"))) < 150
+    new, _ = repair.repair_text(TEXT)
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert rows.where(F.col("repaired") == new).select("doc_id").distinct().count() == rows.count() == 5000
 
 
 def test_every_document_once(spark, monkeypatch):
